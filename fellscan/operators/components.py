@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fellscan.operators.blocks import BLOCK, block_of, pack
-from fellscan.session import cut_lineage
+from fellscan.session import cut_lineage, hold
 
 FINISH_EDGES = 1_000_000  # a graph of at most this many edges (24 MB) is finished in one task; larger ones contract first
 
@@ -112,7 +111,7 @@ def label_grid(present: np.ndarray, eight: bool = False) -> np.ndarray:
     return np.where(present, labels[np.maximum(run - 1, 0)] if n else 0, 0)
 
 
-def _label_block(block: int, eight: bool):
+def _label_block(keep: list[str], eight: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         r0, c0 = rows.min(), cols.min()
@@ -120,8 +119,7 @@ def _label_block(block: int, eight: bool):
         grid[rows - r0, cols - c0] = True
         labels = label_grid(grid, eight)[rows - r0, cols - c0]
         packed = rows.astype("int64") * 4294967296 + cols.astype("int64")
-        lowest = pd.Series(packed).groupby(labels).transform("min").to_numpy()
-        return pd.DataFrame({"survey_id": pdf["survey_id"], "row": rows, "col": cols, "part": lowest})
+        return pdf[keep].assign(part=pd.Series(packed, index=pdf.index).groupby(labels).transform("min"))
 
     return run
 
@@ -130,14 +128,13 @@ def label(mask: DataFrame, block: int = BLOCK, eight: bool = False, finish_edges
     """Add ``region_id`` (the region's smallest packed cell) to a mask; 4-connected unless ``eight``.
 
     Blocks are labelled on their own, only seam contacts become graph edges, and block labels are mapped to regions
-    by one join whose key repeats at most block**2 times.
+    by one join whose key repeats at most block**2 times. Other columns ride along.
     """
-    keys = mask.select("survey_id", "row", "col")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", part bigint"
-    parts = (
-        keys.withColumn("_br", block_of("row", block)).withColumn("_bc", block_of("col", block))
-        .groupBy("survey_id", "_br", "_bc").applyInPandas(_label_block(block, eight), schema)
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.schema) + ", part bigint"
+    parts = hold(
+        mask.withColumn("_br", block_of("row", block)).withColumn("_bc", block_of("col", block))
+        .groupBy("survey_id", "_br", "_bc").applyInPandas(_label_block(mask.columns, eight), schema)
+    )
     r, c = F.col("row"), F.col("col")
     down, right = F.pmod(r + 1, F.lit(block)) == 0, F.pmod(c + 1, F.lit(block)) == 0
     steps = [(1, 0, down), (0, 1, right)]
@@ -156,12 +153,7 @@ def label(mask: DataFrame, block: int = BLOCK, eight: bool = False, finish_edges
         .select(F.col("survey_id").alias("scope"), "u", "v")
     )
     roots = connected_components(edges, finish_edges).select(F.col("scope").alias("survey_id"), F.col("id").alias("part"), "root")
-    named = parts.join(roots, ["survey_id", "part"], "left").select(
-        "survey_id", "row", "col", F.coalesce("root", "part").alias("region_id")
-    )
-    if len(mask.columns) == 3:
-        return named
-    return mask.join(named, ["survey_id", "row", "col"])
+    return parts.join(roots, ["survey_id", "part"], "left").select(*mask.columns, F.coalesce("root", "part").alias("region_id"))
 
 
 def drop_small(labelled: DataFrame, min_cells: int) -> DataFrame:

@@ -247,6 +247,12 @@ def discovery_surface(s: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int
 
 # ---- masks ---------------------------------------------------------------------------------------------------------
 
+def edge_neighbours(blocks: DataFrame, flag: str, out: str) -> DataFrame:
+    """Add the number of edge neighbours (0..4) whose ``flag`` is not null."""
+    row_w, col_w, c = along_row(), along_col(), F.count(flag)
+    return blocks.withColumn(out, c.over(row_w.rangeBetween(-1, -1)) + c.over(row_w.rangeBetween(1, 1)) + c.over(col_w.rangeBetween(-1, -1)) + c.over(col_w.rangeBetween(1, 1)))
+
+
 def with_neighbour_flags(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """Mask cells plus ``n4`` (present edge neighbours), ``ew``/``ns`` exposed sides and 2x2 completeness ``quad``."""
     near = neighbourhood(tiled(mask.withColumn("_m", F.lit(1)), 1, block), "_m")

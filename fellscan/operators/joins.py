@@ -161,12 +161,12 @@ def rim_cells(regions: DataFrame, surface: DataFrame, ring_factor: float = 2.0,
     taken to cell centres. Regions are spread to the ``bucket``-cell squares their ring covers, then met by equality.
     """
     r = F.sqrt(F.col("area_m2") / math.pi)
-    reg = regions.select("survey_id", "region_id", "centroid_row", "centroid_col", r.alias("_r"), (r * ring_factor).alias("_R"))
-    span = lambda c, step: F.sequence(F.floor((F.col(c) - F.col("_R") / step - 1) / bucket), F.floor((F.col(c) + F.col("_R") / step + 1) / bucket))
+    reg = regions.select("survey_id", "region_id", "centroid_row", "centroid_col", r.alias("_r"), (r * ring_factor).alias("_outer"))
+    span = lambda c, step: F.sequence(F.floor((F.col(c) - F.col("_outer") / step - 1) / bucket), F.floor((F.col(c) + F.col("_outer") / step + 1) / bucket))
     reg = reg.withColumn("_gr", F.explode(span("centroid_row", dy))).withColumn("_gc", F.explode(span("centroid_col", dx)))
     cells = surface.withColumn("_gr", F.floor(F.col("row") / bucket)).withColumn("_gc", F.floor(F.col("col") / bucket))
     d = F.sqrt(((F.col("row") + 0.5 - F.col("centroid_row")) * dy) ** 2 + ((F.col("col") + 0.5 - F.col("centroid_col")) * dx) ** 2)
-    return reg.join(cells, ["survey_id", "_gr", "_gc"]).where((d > F.col("_r")) & (d <= F.col("_R"))).drop("_gr", "_gc", "_r", "_R")
+    return reg.join(cells, ["survey_id", "_gr", "_gc"]).where((d > F.col("_r")) & (d <= F.col("_outer"))).drop("_gr", "_gc", "_r", "_outer")
 
 
 def _overlap() -> Column:

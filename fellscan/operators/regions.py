@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fellscan.operators.blocks import BLOCK, KEYS
+from fellscan.operators.blocks import BLOCK, KEYS, owned, tiled
 from fellscan.operators.components import label_grid
-from fellscan.operators.focal import with_neighbour_flags
+from fellscan.operators.focal import edge_neighbours, with_neighbour_flags
 
 REGION = ["survey_id", "region_id"]
 
@@ -153,8 +153,9 @@ def min_rectangle(points: np.ndarray) -> tuple[float, float]:
     along = unit @ hull.T
     across = np.stack([-unit[:, 1], unit[:, 0]], axis=1) @ hull.T
     a, b = np.ptp(along, axis=1), np.ptp(across, axis=1)
-    best = int(np.argmin(np.round(a * b, 9)))
-    return float(max(a[best], b[best])), float(min(a[best], b[best]))
+    length, width = np.maximum(a, b), np.minimum(a, b)
+    best = np.lexsort((np.round(length, 6), np.round(a * b, 6)))[0]  # equal areas: the shorter rectangle
+    return float(length[best]), float(width[best])
 
 
 def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = BLOCK) -> DataFrame:
@@ -220,11 +221,10 @@ def supported_mask(surface: DataFrame, col: str, threshold: float, sign: int = 1
     from fellscan.operators.components import label
 
     valid = surface.where(F.col(col).isNotNull()).select("survey_id", "row", "col", col)
-    flagged = with_neighbour_flags(valid, block)
-    inside = flagged.where("n4 = 4").select("survey_id", "row", "col", col)
-    mask = inside.where(F.col(col) * sign >= threshold)
-    labelled = label(mask, block)
-    # An interior cell with fewer than four interior neighbours stands beside unsupported ground.
-    exposed = with_neighbour_flags(inside.select("survey_id", "row", "col"), block).where("n4 < 4").select("survey_id", "row", "col")
-    bad = labelled.join(exposed, KEYS, "left_semi").select(*REGION).distinct()
-    return labelled.join(bad, REGION, "left_anti")
+    blocks = tiled(valid, 2, block).withColumn("_valid", F.lit(1))
+    blocks = edge_neighbours(edge_neighbours(blocks, "_valid", "_n").withColumn("_inside", F.when(F.col("_n") == 4, 1)), "_inside", "_m")
+    cells = owned(blocks).where(F.col("_inside").isNotNull() & (F.col(col) * sign >= threshold))
+    # an interior cell with fewer than four interior neighbours stands beside unsupported ground
+    labelled = label(cells.select("survey_id", "row", "col", col, (F.col("_m") < 4).alias("_exposed")), block)
+    bad = labelled.where("_exposed").select(*REGION).distinct()
+    return labelled.drop("_exposed").join(bad, REGION, "left_anti")

@@ -25,35 +25,35 @@ BOTH: dict[str, str] = {
         concat('dem/', n_name) AS path FROM {nation}""",
     "points": """SELECT CAST(l_partkey % 500 AS DOUBLE) AS x, CAST((l_suppkey * 7 + l_orderkey) % 500 AS DOUBLE) AS y,
         l_extendedprice / 1000 AS z, CAST(l_linenumber AS INT) AS return_number,
-        CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS number_of_returns, CAST(l_quantity AS INT) % 8 AS classification,
+        CASE WHEN (l_partkey * 7 + l_orderkey) % 3 = 0 THEN 2 ELSE 1 END AS number_of_returns, CAST(l_quantity AS INT) % 8 AS classification,
         concat('p', CAST(l_suppkey % 2 AS STRING)) AS survey_id FROM {lineitem}""",
     "cand": """SELECT l_orderkey * 8 + l_linenumber AS cand_id, concat('t', CAST(l_suppkey % 10 AS STRING)) AS tile_id,
         CASE l_linenumber WHEN 1 THEN 'fill_difference' WHEN 2 THEN 'local_relief_model' WHEN 3 THEN 'tpi' WHEN 4 THEN 'curvature'
           WHEN 5 THEN 'sky_view_factor' WHEN 6 THEN 'point_density' ELSE 'morphometric_filter' END AS pass_name,
-        -80 + (l_partkey % 400) / 1000.0 AS lon, 40 + (l_orderkey % 400) / 1000.0 AS lat,
+        -80 + (l_partkey % 400) / 1e3 AS lon, 40 + (l_orderkey % 400) / 1e3 AS lat,
         CAST((l_partkey * 13) % 20000 AS BIGINT) AS mx, CAST((l_orderkey * 7) % 20000 AS BIGINT) AS my,
-        CAST(round(l_discount * 100) AS INT) / 10.0 AS score,
+        CAST(round(l_discount * 100) AS INT) / 1e1 AS score,
         CASE WHEN l_suppkey % 3 = 0 THEN 'sinkhole' WHEN l_suppkey % 3 = 1 THEN 'depression' ELSE 'cave_entrance' END AS feature_type,
-        CAST(round(l_tax * 100) AS INT) / 2.0 AS depth_m, CAST(l_quantity * 10 AS DOUBLE) AS area_m2,
-        ((l_partkey * 31 + l_orderkey) % 100) / 100.0 AS circularity, ((l_partkey * 17 + l_suppkey) % 100) / 100.0 AS elongation
+        CAST(round(l_tax * 100) AS INT) / 2e0 AS depth_m, CAST(l_quantity * 10 AS DOUBLE) AS area_m2,
+        ((l_partkey * 31 + l_orderkey) % 100) / 1e2 AS circularity, ((l_partkey * 17 + l_suppkey) % 100) / 1e2 AS elongation
         FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_discount) AS l_discount,
                      max(l_tax) AS l_tax, max(l_quantity) AS l_quantity FROM {lineitem} GROUP BY l_orderkey, l_linenumber) q""",
-    "detections": """SELECT event_id AS id, -80 + (user_id * 37 % 1000) / 1000.0 AS lon, 40 + (event_id * 13 % 1000) / 1000.0 AS lat,
+    "detections": """SELECT event_id AS id, -80 + (user_id * 37 % 1000) / 1e3 AS lon, 40 + (event_id * 13 % 1000) / 1e3 AS lat,
         CASE event_type WHEN 'view' THEN 'sinkhole' WHEN 'click' THEN 'depression' WHEN 'error' THEN 'mine_portal'
           WHEN 'purchase' THEN 'cave_entrance' ELSE 'mound' END AS feature_type,
-        least(round(value, 2) / 100.0, 1.0) AS confidence, ts AS created_at, props,
+        least(round(value, 2) / 1e2, 1.0) AS confidence, ts AS created_at, props,
         concat('["', CASE WHEN event_id % 3 = 0 THEN 'tpi' ELSE 'fill_difference' END, '"]') AS source_passes,
         CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false END AS validated,
-        CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round(value, 2) / 10.0 END AS depth_m, round(value, 2) * 3.0 AS area_m2
+        CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE round(value, 2) / 1e1 END AS depth_m, round(value, 2) * 3e0 AS area_m2
         FROM {events}""",
-    "sites": """SELECT c_custkey AS site_id, c_name AS name, -80 + (c_custkey * 29 % 1000) / 1000.0 AS lon, 40 + (c_custkey * 53 % 1000) / 1000.0 AS lat,
+    "sites": """SELECT c_custkey AS site_id, c_name AS name, -80 + (c_custkey * 29 % 1000) / 1e3 AS lon, 40 + (c_custkey * 53 % 1000) / 1e3 AS lat,
         CASE c_mktsegment WHEN 'MACHINERY' THEN 'mine_portal' WHEN 'BUILDING' THEN 'sinkhole' ELSE 'depression' END AS feature_type,
         concat('src', CAST(c_nationkey % 10 AS STRING)) AS source FROM {customer}""",
     "footprints": """SELECT p_partkey AS id, CASE WHEN p_type = 'ECONOMY' THEN 'cemetery' ELSE 'building' END AS kind,
-        -80 + (p_partkey * 7 % 400) / 1000.0 - p_size / 20000.0 AS west, 40 + (p_partkey * 11 % 400) / 1000.0 - p_size / 20000.0 AS south,
-        -80 + (p_partkey * 7 % 400) / 1000.0 + p_size / 20000.0 AS east, 40 + (p_partkey * 11 % 400) / 1000.0 + p_size / 20000.0 AS north FROM {part}""",
-    "tile_index": """SELECT o_orderkey AS tile_id, -80 + (o_orderkey * 17 % 2000) / 1000.0 AS west, 39 + (o_custkey * 31 % 2000) / 1000.0 AS south,
-        -80 + (o_orderkey * 17 % 2000) / 1000.0 + 0.0107 AS east, 39 + (o_custkey * 31 % 2000) / 1000.0 + 0.0107 AS north,
+        -80 + (p_partkey * 7 % 400) / 1e3 - p_size / 2e4 AS west, 40 + (p_partkey * 11 % 400) / 1e3 - p_size / 2e4 AS south,
+        -80 + (p_partkey * 7 % 400) / 1e3 + p_size / 2e4 AS east, 40 + (p_partkey * 11 % 400) / 1e3 + p_size / 2e4 AS north FROM {part}""",
+    "tile_index": """SELECT o_orderkey AS tile_id, -80 + (o_orderkey * 17 % 2000) / 1e3 AS west, 39 + (o_custkey * 31 % 2000) / 1e3 AS south,
+        -80 + (o_orderkey * 17 % 2000) / 1e3 + 0.0107 AS east, 39 + (o_custkey * 31 % 2000) / 1e3 + 0.0107 AS north,
         CAST(year(o_orderdate) AS INT) AS year, CASE o_orderstatus WHEN 'F' THEN 'copc' ELSE 'laz' END AS format,
         concat('https://tiles/', CAST(o_orderkey % 5000 AS STRING), '.laz') AS url, o_orderpriority AS priority FROM {orders}""",
     "job_events": """SELECT concat('job', CAST(user_id AS STRING)) AS job_id, event_id AS seq, ts,

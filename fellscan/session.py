@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +20,7 @@ def build_session(app: str = "fellscan", cores: int | str = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -41,3 +43,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one plan read; lost partitions are recomputed from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
