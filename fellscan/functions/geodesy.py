@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 A = 6378137.0
 FLAT = 1 / 298.257223563
@@ -16,6 +17,10 @@ THIRD = FLAT / (2 - FLAT)
 SCALE = 0.9996
 
 
+def _pair(a: str, b: str) -> T.StructType:
+    return T.StructType([T.StructField(a, T.DoubleType()), T.StructField(b, T.DoubleType())])
+
+
 def _reduced(lat: np.ndarray) -> np.ndarray:
     return np.arctan((1 - FLAT) * np.tan(np.radians(lat)))
 
@@ -79,13 +84,13 @@ def direct_arrays(lon, lat, azimuth, dist):
     return np.asarray(lon, float) + np.degrees(dlon), np.degrees(lat2)
 
 
-@F.pandas_udf("distance_m double, azimuth double")
+@F.pandas_udf(_pair("distance_m", "azimuth"))
 def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     d, a = inverse_arrays(lon1, lat1, lon2, lat2)
     return pd.DataFrame({"distance_m": d, "azimuth": a})
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(_pair("lon", "lat"))
 def geodesic_end(lon: pd.Series, lat: pd.Series, azimuth: pd.Series, dist: pd.Series) -> pd.DataFrame:
     x, y = direct_arrays(lon, lat, azimuth, dist)
     return pd.DataFrame({"lon": x, "lat": y})

@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fellscan.session import hold
+
 BINS = 1024
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, rounds: int = 2) -> DataFrame:
+DIRECT = 100_000  # groups with at most this many distinct values (under 2 MB of buffer) go straight to ``percentile``
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, rounds: int = 2, direct: int = DIRECT) -> DataFrame:
     """``keys + [out]``: linear interpolation between order statistics, as ``percentile`` gives.
 
-    Values are counted first (so ties weigh nothing), then each group is cut into bins of its own range and only the
-    bins holding the wanted ranks go on; what is left per group after ``rounds`` cuts is what ``percentile`` sees.
+    Values are counted first, so ties weigh nothing. Groups with many distinct values are cut into bins of their own
+    range and only the bins holding the wanted ranks go on, ``rounds`` times, before the last few are ranked.
     """
-    have = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    have = hold(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    large = have.groupBy(*keys).agg(F.count("*").alias("_k")).where(F.col("_k") > direct).select(*keys)
+    plain = lambda d: d.groupBy(*keys).agg(F.percentile("_v", q, F.col("_n")).alias(out))
+    if large.isEmpty():
+        return plain(have)
+    large = hold(large)
+    return plain(have.join(large, keys, "left_anti")).unionByName(_narrowed(have.join(large, keys, "left_semi"), keys, q, out, rounds))
+
+
+def _narrowed(have: DataFrame, keys: list[str], q: float, out: str, rounds: int) -> DataFrame:
     total = have.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     rank = (F.col("_total") - 1) * F.lit(q)
     need = total.select(*keys, F.floor(rank).alias("_lo"), F.ceil(rank).alias("_hi"), (rank - F.floor(rank)).alias("_part"), F.lit(0).cast("bigint").alias("_skip"))
@@ -26,7 +40,8 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
         w = Window.partitionBy(*keys).orderBy("_bin")  # at most BINS rows per group
         upto = counts.withColumn("_end", F.sum("_m").over(w)).withColumn("_start", F.col("_end") - F.col("_m")).join(need, keys)
         hit = upto.where((F.col("_end") > F.col("_lo") - F.col("_skip")) & (F.col("_start") <= F.col("_hi") - F.col("_skip")))
-        have = binned.join(hit.select(*keys, "_bin"), [*keys, "_bin"], "left_semi").drop("_bin")
+        hit = hold(hit)
+        have = hold(binned.join(hit.select(*keys, "_bin"), [*keys, "_bin"], "left_semi").drop("_bin"))
         first = hit.groupBy(*keys).agg(F.min("_start").alias("_s"))
         need = need.join(first, keys).select(*keys, "_lo", "_hi", "_part", (F.col("_skip") + F.col("_s")).alias("_skip"))
     w = Window.partitionBy(*keys).orderBy("_v")

@@ -155,7 +155,7 @@ def min_rectangle(points: np.ndarray) -> tuple[float, float]:
     a, b = np.ptp(along, axis=1), np.ptp(across, axis=1)
     length, width = np.maximum(a, b), np.minimum(a, b)
     best = np.lexsort((np.round(length, 6), np.round(a * b, 6)))[0]  # equal areas: the shorter rectangle
-    return float(length[best]), float(width[best])
+    return round(float(length[best]), 9), round(float(width[best]), 9)  # whole-number ratios compare exactly
 
 
 def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = BLOCK) -> DataFrame:

@@ -91,24 +91,24 @@ def covered(res: float, radius: float, where: str = "") -> str:
 @register("g18_grid_mean", f"""WITH {PTS}, {TOP}, {covered(4, 4.5)}, g AS (SELECT survey_id, "row", col, avg(z) AS z FROM cv WHERE d <= 4.5 GROUP BY 1, 2, 3),
     f AS (SELECT survey_id, "row" + dr AS "row", col + dc AS col, sum(z / sqrt(dr * dr + dc * dc)) / sum(1 / sqrt(dr * dr + dc * dc)) AS z
       FROM g, range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr <> 0 OR dc <> 0 GROUP BY 1, 2, 3)
-    SELECT {KEY}, {rd('z', 9)} AS z FROM g UNION ALL
-    SELECT {KEY}, {rd('z', 9)} AS z FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.survey_id = f.survey_id AND g."row" = f."row" AND g.col = f.col)""")
+    SELECT {KEY}, {rd('z')} AS z FROM g UNION ALL
+    SELECT {KEY}, {rd('z')} AS z FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.survey_id = f.survey_id AND g."row" = f."row" AND g.col = f.col)""")
 def _grid_mean(spark, sf):
-    return pointgrid.grid_mean(points(spark, sf), 4.0, 4.5).withColumn("z", rnd("z", 9))
+    return pointgrid.grid_mean(points(spark, sf), 4.0, 4.5).withColumn("z", rnd("z"))
 
 
 IDW = """SELECT survey_id, "row", col, coalesce(avg(CASE WHEN d < 1e-9 THEN z END), sum(z / greatest(d, 1e-9)) / sum(1 / greatest(d, 1e-9))) AS z FROM cv WHERE d <= {r} GROUP BY 1, 2, 3"""
 
 
-@register("g19_grid_idw", f"WITH {PTS}, {TOP}, {covered(4, 4)}, g AS ({IDW.format(r=4)}) SELECT {KEY}, {rd('z', 9)} AS z FROM g")
+@register("g19_grid_idw", f"WITH {PTS}, {TOP}, {covered(4, 4)}, g AS ({IDW.format(r=4)}) SELECT {KEY}, {rd('z')} AS z FROM g")
 def _idw(spark, sf):
-    return pointgrid.grid_idw(points(spark, sf), 4.0, 1.0, 4.0).withColumn("z", rnd("z", 9))
+    return pointgrid.grid_idw(points(spark, sf), 4.0, 1.0, 4.0).withColumn("z", rnd("z"))
 
 
 @register("r24_full_return", f"""WITH {PTS}, {TOP}, {covered(4, 4 * math.sqrt(2), 'WHERE classification IN (1, 2, 7)').replace("bd USING", "(SELECT survey_id, floor(min(x)) AS x0, ceil(max(y)) AS y1 FROM points WHERE classification IN (1, 2, 7) GROUP BY 1) bd USING")},
-    g AS ({IDW.format(r=repr(4 * math.sqrt(2)))}) SELECT {KEY}, {rd('z', 9)} AS z FROM g""")
+    g AS ({IDW.format(r=repr(4 * math.sqrt(2)))}) SELECT {KEY}, {rd('z')} AS z FROM g""")
 def _full(spark, sf):
-    return pointgrid.full_return(points(spark, sf), 4.0).withColumn("z", rnd("z", 9))
+    return pointgrid.full_return(points(spark, sf), 4.0).withColumn("z", rnd("z"))
 
 
 @register("r23_smrf")
@@ -449,7 +449,7 @@ def rect_sql(src: str = "lab") -> str:
       FROM co p JOIN co q ON p.survey_id = q.survey_id AND p.region_id = q.region_id AND (q.x > p.x OR (q.x = p.x AND q.y > p.y))),
     ex AS (SELECT d.survey_id, d.region_id, (max(x * ux + y * uy) - min(x * ux + y * uy)) / sqrt(ux * ux + uy * uy) AS l, (max(y * ux - x * uy) - min(y * ux - x * uy)) / sqrt(ux * ux + uy * uy) AS w
       FROM di d JOIN co USING (survey_id, region_id) GROUP BY d.survey_id, d.region_id, ux, uy),
-    rc AS MATERIALIZED (SELECT survey_id, region_id, greatest(l, w) AS length_m, least(l, w) AS width_m FROM (SELECT *, row_number() OVER (PARTITION BY survey_id, region_id
+    rc AS MATERIALIZED (SELECT survey_id, region_id, round(greatest(l, w), 9) AS length_m, round(least(l, w), 9) AS width_m FROM (SELECT *, row_number() OVER (PARTITION BY survey_id, region_id
       ORDER BY round(l * w, 6), round(greatest(l, w), 6)) AS k FROM ex) q WHERE k = 1),
     tp AS MATERIALIZED (SELECT l.survey_id, l.region_id, count(*) AS n, 4 * count(*) - 2 * count(e.col) - 2 * count(s.col) AS outline_m,
       1 - (count(*) - count(e.col) - count(s.col) + count(CASE WHEN e.col IS NOT NULL AND s.col IS NOT NULL AND x.col IS NOT NULL THEN 1 END)) AS holes FROM {src} l

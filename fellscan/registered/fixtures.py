@@ -24,7 +24,7 @@ BOTH: dict[str, str] = {
         CAST(1 AS DOUBLE) AS scale, CAST(0 AS DOUBLE) AS "offset", CAST(1 + n_nationkey % 5 AS DOUBLE) AS resolution_m,
         concat('dem/', n_name) AS path FROM {nation}""",
     "points": """SELECT CAST(l_partkey % 500 AS DOUBLE) AS x, CAST((l_suppkey * 7 + l_orderkey) % 500 AS DOUBLE) AS y,
-        l_extendedprice / 1000 AS z, CAST(l_linenumber AS INT) AS return_number,
+        CAST(round(l_extendedprice / 1e2) AS DOUBLE) AS z, CAST(l_linenumber AS INT) AS return_number,
         CASE WHEN (l_partkey * 7 + l_orderkey) % 3 = 0 THEN 2 ELSE 1 END AS number_of_returns, CAST(l_quantity AS INT) % 8 AS classification,
         concat('p', CAST(l_suppkey % 2 AS STRING)) AS survey_id FROM {lineitem}""",
     "cand": """SELECT l_orderkey * 8 + l_linenumber AS cand_id, concat('t', CAST(l_suppkey % 10 AS STRING)) AS tile_id,
