@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fellscan.functions.geodesy import authalic_area_term, geodesic, geodesic_end, utm_forward
+from fellscan.functions.geodesy import authalic_area_term, geodesic, geodesic_end, with_utm
 from fellscan.functions.scalars import utm_zone
 from fellscan.operators.joins import sample_nearest
 
@@ -48,8 +48,8 @@ def profile_points(lines: DataFrame, n: int = 201, key: str = "line_id") -> Data
 def profiles(lines: DataFrame, surface: DataFrame, survey: DataFrame, n: int = 201, key: str = "line_id") -> DataFrame:
     """Profile positions with the elevation of the native cell under each, first source by (resolution, path)."""
     pts = profile_points(lines, n, key)
-    east, north = utm_forward(F.col("lon"), F.col("lat"), utm_zone("lon"))
-    placed = pts.withColumns({"x": east, "y": north, "zone": utm_zone("lon"), "_id": F.concat_ws("|", F.col(key).cast("string"), F.col("i").cast("string"))})
+    flat = with_utm(pts.withColumn("zone", utm_zone("lon")), F.col("lon"), F.col("lat"), F.col("zone"), "x", "y")
+    placed = flat.withColumns({"_id": F.concat_ws("|", F.col(key).cast("string"), F.col("i").cast("string"))})
     by_zone = survey.withColumn("zone", (F.col("epsg") % 100).cast("int"))
     epsgs = by_zone.select("zone", "epsg").distinct()
     best = sample_nearest(placed.join(epsgs, "zone").select("_id", "x", "y", "epsg"), surface, survey, "_id").where("elevation_m IS NOT NULL")

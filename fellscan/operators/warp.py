@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fellscan.functions.geodesy import utm_forward, utm_inverse
+from fellscan.functions.geodesy import with_lonlat, with_utm
 from fellscan.functions.scalars import tile_position
 from fellscan.operators.blocks import KEYS
 from fellscan.operators.focal import dilate
@@ -22,23 +22,29 @@ def to_mercator(surface: DataFrame, survey: DataFrame, z: int, size: int = 512,
     """
     grid = survey.select("survey_id", "epsg", "x0", "y0", "dx", "dy", "resolution_m")
     zone, south = (F.col("epsg") % 100).cast("int"), F.floor(F.col("epsg") / 100) == 327
-    cells = surface.select(*KEYS, F.col(col).cast("double").alias("v"))
-    mv = lambda dr, dc, name: cells.select("survey_id", (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("v").alias(name))
-    quad = cells.withColumnRenamed("v", "v00").join(mv(0, 1, "v01"), KEYS).join(mv(1, 0, "v10"), KEYS).join(mv(1, 1, "v11"), KEYS).join(grid, "survey_id")
     pixels = float(size)
-    ends = []
-    for dr, dc in ((0.5, 0.5), (0.5, 1.5), (1.5, 0.5), (1.5, 1.5)):
-        lon, lat = utm_inverse(F.col("x0") + (F.col("col") + dc) * F.col("dx"), F.col("y0") - (F.col("row") + dr) * F.col("dy"), zone, south)
-        ends.append(tile_position(lon, lat, F.lit(z)))
-    quad = quad.withColumns({f"_{a}{i}": e[k] * pixels for i, e in enumerate(ends) for k, a in enumerate("xy")})
-    rng = lambda a: F.sequence(F.floor(F.least(*[f"_{a}{i}" for i in range(4)]) - 0.5), F.ceil(F.greatest(*[f"_{a}{i}" for i in range(4)]) - 0.5))
-    hit = quad.withColumn("gx", F.explode(rng("x"))).withColumn("gy", F.explode(rng("y")))
+    placed = surface.select(*KEYS, F.col(col).cast("double").alias("v")).join(grid, "survey_id")
+    placed = with_lonlat(placed, F.col("x0") + (F.col("col") + 0.5) * F.col("dx"), F.col("y0") - (F.col("row") + 0.5) * F.col("dy"), zone, south, "_lon", "_lat")
+    fx, fy = tile_position("_lon", "_lat", F.lit(z))
+    cells = placed.withColumns({"fx": fx * pixels, "fy": fy * pixels}).drop("_lon", "_lat")
+    # each cell is one corner of up to four squares of cell centres; gathering by square needs a single exchange
+    corners = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
+    spread = cells.withColumn("k", F.explode(corners)).withColumns({"row": F.col("row") - F.col("k.r"), "col": F.col("col") - F.col("k.c")})
+    at = lambda r, c: F.max(F.when((F.col("k.r") == r) & (F.col("k.c") == c), F.col("v")))
+    quad = spread.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), at(0, 0).alias("v00"), at(0, 1).alias("v01"), at(1, 0).alias("v10"), at(1, 1).alias("v11"),
+        F.min("fx").alias("fx0"), F.max("fx").alias("fx1"), F.min("fy").alias("fy0"), F.max("fy").alias("fy1"),
+        *[F.first(c).alias(c) for c in ("epsg", "x0", "y0", "dx", "dy", "resolution_m")]).where("n = 4")
+    # pixel centres between the outermost corners; the margin only covers rounding
+    first = lambda a: F.ceil(F.col(f"f{a}0") - 0.5 - 1e-6)
+    last = lambda a: F.floor(F.col(f"f{a}1") - 0.5 + 1e-6)
+    some = quad.where((first("x") <= last("x")) & (first("y") <= last("y")))
+    hit = some.withColumn("gx", F.explode(F.sequence(first("x"), last("x")))).withColumn("gy", F.explode(F.sequence(first("y"), last("y"))))
     n = 2.0**z * pixels
-    lon = (F.col("gx") + 0.5) / n * 360 - 180
-    lat = F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * (F.col("gy") + 0.5) / n))))
-    east, north = utm_forward(lon, lat, zone)
-    u = (east - F.col("x0")) / F.col("dx") - F.col("col") - 0.5
-    w = (F.col("y0") - north) / F.col("dy") - F.col("row") - 0.5
+    hit = hit.withColumns({"_lon": (F.col("gx") + 0.5) / n * 360 - 180, "_lat": F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * (F.col("gy") + 0.5) / n))))})
+    hit = with_utm(hit, F.col("_lon"), F.col("_lat"), zone)
+    u = (F.col("east") - F.col("x0")) / F.col("dx") - F.col("col") - 0.5
+    w = (F.col("y0") - F.col("north")) / F.col("dy") - F.col("row") - 0.5
     hit = hit.withColumns({"u": u, "w": w}).where("u >= 0 AND u < 1 AND w >= 0 AND w < 1")
     value = (1 - F.col("w")) * ((1 - F.col("u")) * F.col("v00") + F.col("u") * F.col("v01")) + F.col("w") * ((1 - F.col("u")) * F.col("v10") + F.col("u") * F.col("v11"))
     best = hit.groupBy("gx", "gy").agg(F.min(F.struct("resolution_m", "survey_id", value.alias("value"))).alias("m"))
@@ -72,7 +78,8 @@ def patches(s: DataFrame, size: int, overlap: int) -> DataFrame:
     """Cells copied into every overlapping patch that holds them: adds patch_row, patch_col (lattice origin of the patch)."""
     stride = size - overlap
     starts = lambda c: F.sequence(F.greatest(F.ceil((F.col(c) - size + 1) / stride), F.lit(0)), F.floor(F.col(c) / stride))
-    return s.withColumn("patch_row", F.explode(starts("row")) * stride).withColumn("patch_col", F.explode(starts("col")) * stride)
+    placed = s.withColumn("patch_row", F.explode(starts("row"))).withColumn("patch_col", F.explode(starts("col")))
+    return placed.withColumns({"patch_row": F.col("patch_row") * stride, "patch_col": F.col("patch_col") * stride})
 
 
 def stitch(preds: DataFrame, value: str = "p") -> DataFrame:

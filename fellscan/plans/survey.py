@@ -75,6 +75,7 @@ def run_preset(surface: DataFrame, points: DataFrame | None, name: str | Preset,
     the survey's top-left corner, y downwards.
     """
     p = preset(name) if isinstance(name, str) else name
+    surface = hold(surface)
     plain, shape, cells = [], [], []
     forms = None
     for n in p.passes:

@@ -82,7 +82,8 @@ def request_rollup(log: DataFrame, slow_ms: int = 1000) -> DataFrame:
     """Request pairs by id: duration, status and whether it was slow or never answered."""
     opened, closed = F.min(F.when(F.col("phase") == "in", F.col("ts"))), F.max(F.when(F.col("phase") == "out", F.col("ts")))
     pair = log.groupBy("request_id").agg(opened.alias("started"), closed.alias("ended"), F.max("status").alias("status"))
-    ms = (F.unix_micros("ended") - F.unix_micros("started")) / 1000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ms = (micros("ended") - micros("started")) / 1000
     return pair.withColumn("ms", ms).withColumn("slow", F.coalesce(F.col("ms") >= slow_ms, F.lit(False))).withColumn("open", F.col("ended").isNull())
 
 
