@@ -131,10 +131,17 @@ def label(mask: DataFrame, block: int = BLOCK, eight: bool = False, finish_edges
     by one join whose key repeats at most block**2 times. Other columns ride along.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mask.schema) + ", part bigint"
-    parts = hold(
+    parts = (
         mask.withColumn("_br", block_of("row", block)).withColumn("_bc", block_of("col", block))
         .groupBy("survey_id", "_br", "_bc").applyInPandas(_label_block(mask.columns, eight), schema)
     )
+    return join_parts(parts, block, eight, finish_edges=finish_edges)
+
+
+def join_parts(parts: DataFrame, block: int, eight: bool = False, same: list[str] | None = None, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    """Regions from per-block labels ``part``: labels meeting across a block seam (and alike in ``same``) become one ``region_id``."""
+    same = same or []
+    parts = hold(parts)
     r, c = F.col("row"), F.col("col")
     down, right = F.pmod(r + 1, F.lit(block)) == 0, F.pmod(c + 1, F.lit(block)) == 0
     steps = [(1, 0, down), (0, 1, right)]
@@ -143,17 +150,19 @@ def label(mask: DataFrame, block: int = BLOCK, eight: bool = False, finish_edges
     contact = F.filter(
         F.array(*[F.when(cond, F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))) for dr, dc, cond in steps]), lambda x: x.isNotNull()
     )
-    seam = F.pmod(r, F.lit(block)) == 0
-    seam = seam | (F.pmod(c, F.lit(block)) == 0) | (F.pmod(c + 1, F.lit(block)) == 0) if eight else seam | (F.pmod(c, F.lit(block)) == 0)
+    seam = (F.pmod(r, F.lit(block)) == 0) | (F.pmod(c, F.lit(block)) == 0)
+    if eight:
+        seam = seam | right
     asking = parts.withColumn("_s", F.explode(contact)).select(
-        "survey_id", (r + F.col("_s.dr")).alias("row"), (c + F.col("_s.dc")).alias("col"), F.col("part").alias("u")
+        "survey_id", (r + F.col("_s.dr")).alias("row"), (c + F.col("_s.dc")).alias("col"), F.col("part").alias("u"), *same
     )
     edges = (
-        asking.join(parts.where(seam).select("survey_id", "row", "col", F.col("part").alias("v")), ["survey_id", "row", "col"])
+        asking.join(parts.where(seam).select("survey_id", "row", "col", F.col("part").alias("v"), *same), ["survey_id", "row", "col", *same])
         .select(F.col("survey_id").alias("scope"), "u", "v")
     )
     roots = connected_components(edges, finish_edges).select(F.col("scope").alias("survey_id"), F.col("id").alias("part"), "root")
-    return parts.join(roots, ["survey_id", "part"], "left").select(*mask.columns, F.coalesce("root", "part").alias("region_id"))
+    keep = [x for x in parts.columns if x != "part"]
+    return parts.join(roots, ["survey_id", "part"], "left").select(*keep, F.coalesce("root", "part").alias("region_id"))
 
 
 def drop_small(labelled: DataFrame, min_cells: int) -> DataFrame:

@@ -221,38 +221,47 @@ def local_reliefs(s: DataFrame, radii: dict[str, float], dx: float = 1.0, dy: fl
     """
     halves = {n: (math.ceil(r / dx), math.ceil(r / dy)) for n, r in radii.items()}
     halo = max(max(h) for h in halves.values())
-    boxed = tiled(s, halo, max(block, halo))
+    return owned(_full_boxes(tiled(s, halo, max(block, halo)), halves, col))
+
+
+def _full_boxes(blocks: DataFrame, halves: dict[str, tuple[int, int]], col: str, row_extra: dict | None = None, col_extra: dict | None = None) -> DataFrame:
+    """All row windows, then all column windows: two sorts however many boxes (and extra windows) there are."""
+    row_w, col_w = along_row(), along_col()
+    one = F.when(F.col(col).isNotNull(), 1).otherwise(0)
+    first = {}
+    for n, (rx, _) in halves.items():
+        first[f"_s_{n}"], first[f"_n_{n}"] = _running(F.coalesce(F.col(col), F.lit(0)), row_w, rx), _running(one, row_w, rx)
+    out = blocks.withColumns({**first, **(row_extra or {})})
+    second = {}
+    for n, (_, ry) in halves.items():
+        second[f"_S_{n}"], second[f"_N_{n}"] = _running(F.col(f"_s_{n}"), col_w, ry), _running(F.col(f"_n_{n}"), col_w, ry)
+    renamed = {k.replace("_S_", "_bs_").replace("_N_", "_bn_"): v for k, v in second.items()}
+    out = out.withColumns({**renamed, **(col_extra or {})})
+    final = {}
     for n, (rx, ry) in halves.items():
-        boxed = box_stats(boxed, col, rx, ry, f"_{n}")
         size = (2 * rx + 1) * (2 * ry + 1)
-        boxed = boxed.withColumn(n, F.when(F.col(f"_{n}_n") == size, F.col(col) - F.col(f"_{n}_sum") / size)).drop(f"_{n}_sum", f"_{n}_n")
-    return owned(boxed)
+        final[n] = F.when(F.col(f"_bn_{n}") == size, F.col(col) - F.col(f"_bs_{n}") / size)
+    return out.withColumns(final).drop(*first, *renamed)
 
 
 def discovery_surface(s: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = BLOCK) -> DataFrame:
-    """Relief at 10 m and 25 m and central-difference slope, all with full support, from one exchange."""
+    """Relief at 10 m and 25 m and central-difference slope, all with full support, from one exchange and two sorts."""
     halo = max(math.ceil(25 / min(dx, dy)), 1)
-    boxed = tiled(s, halo, max(block, halo))
-    for n, radius in (("relief_10", 10), ("relief_25", 25)):
-        rx, ry = math.ceil(radius / dx), math.ceil(radius / dy)
-        size = (2 * rx + 1) * (2 * ry + 1)
-        boxed = box_stats(boxed, "z", rx, ry, f"_{n}")
-        boxed = boxed.withColumn(n, F.when(F.col(f"_{n}_n") == size, F.col("z") - F.col(f"_{n}_sum") / size)).drop(f"_{n}_sum", f"_{n}_n")
-    full = F.lit(True)
-    for n in NINE:
-        full = full & F.col(n).isNotNull()
-    near = neighbourhood(boxed).withColumn("slope", F.when(full, product("slope_gradient", dx, dy))).drop(*NINE)
-    return owned(near)
+    halves = {n: (math.ceil(r / dx), math.ceil(r / dy)) for n, r in (("relief_10", 10), ("relief_25", 25))}
+    row_w, col_w = along_row(), along_col()
+    z = F.col("z").cast("double")
+    line = {"ne": z, "nd": F.max(z).over(row_w.rangeBetween(-1, -1)), "nf": F.max(z).over(row_w.rangeBetween(1, 1))}
+    # three present cells on a line make its ends known; that flag stands in for the corners above and below
+    whole = F.when(F.col("nd").isNotNull() & F.col("nf").isNotNull(), F.col("ne"))
+    column = {"nb": F.max(whole).over(col_w.rangeBetween(-1, -1)), "nh": F.max(whole).over(col_w.rangeBetween(1, 1))}
+    out = _full_boxes(tiled(s.select("survey_id", "row", "col", "z"), halo, max(block, halo)), halves, "z", line, column)
+    full = F.col("nd").isNotNull() & F.col("nf").isNotNull() & F.col("nb").isNotNull() & F.col("nh").isNotNull()
+    slope = F.when(full, product("slope_gradient", dx, dy))
+    return owned(out.withColumn("slope", slope).drop("ne", "nd", "nf", "nb", "nh"))
 
 
 # ---- masks ---------------------------------------------------------------------------------------------------------
 
-def edge_neighbours(blocks: DataFrame, flag: str, out: str) -> DataFrame:
-    """Add the number of edge neighbours (0..4) whose ``flag`` is not null."""
-    row_w, col_w, c = along_row(), along_col(), F.count(flag)
-    return blocks.withColumn(out, c.over(row_w.rangeBetween(-1, -1)) + c.over(row_w.rangeBetween(1, 1)) + c.over(col_w.rangeBetween(-1, -1)) + c.over(col_w.rangeBetween(1, 1)))
-
-
 def with_neighbour_flags(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """Mask cells plus ``n4`` (present edge neighbours), ``ew``/``ns`` exposed sides and 2x2 completeness ``quad``."""
     near = neighbourhood(tiled(mask.withColumn("_m", F.lit(1)), 1, block), "_m")

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fellscan.operators.blocks import BLOCK, KEYS, owned, tiled
-from fellscan.operators.components import label_grid
-from fellscan.operators.focal import edge_neighbours, with_neighbour_flags
+from fellscan.operators.blocks import BLOCK, BLOCK_KEYS, KEYS, tiled
+from fellscan.operators.components import join_parts, label_grid
+from fellscan.operators.focal import with_neighbour_flags
 
 REGION = ["survey_id", "region_id"]
 
@@ -89,17 +89,21 @@ def label_candidates(labelled: DataFrame, surface: DataFrame) -> DataFrame:
 
 
 def select_regions(labelled: DataFrame, surface: DataFrame, min_area: float, max_area: float, limit: int | None = 200,
-                   dx: float = 1.0, dy: float = 1.0) -> DataFrame:
-    """Largest regions inside the area window, then those touching the survey's edge removed (in that order)."""
-    sizes = labelled.groupBy(*REGION).agg(
+                   dx: float = 1.0, dy: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """Largest regions inside the area window, then those touching the survey's edge removed (in that order).
+
+    The limit counts per survey, and per value of ``by`` where given.
+    """
+    by = by or []
+    sizes = labelled.groupBy(*REGION, *by).agg(
         F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")
     ).where((F.col("cells") * dx * dy >= min_area) & (F.col("cells") * dx * dy <= max_area))
     if limit is not None:  # the limit is the feature: largest first per survey; the filter is pushed below the exchange
-        rank = F.row_number().over(Window.partitionBy("survey_id").orderBy(F.desc("cells"), "region_id"))
+        rank = F.row_number().over(Window.partitionBy("survey_id", *by).orderBy(F.desc("cells"), "region_id"))
         sizes = sizes.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k")
     edge = surface.groupBy("survey_id").agg(F.min("row").alias("s0"), F.max("row").alias("s1"), F.min("col").alias("t0"), F.max("col").alias("t1"))
     inner = sizes.join(edge, "survey_id").where("r0 > s0 AND r1 < s1 AND c0 > t0 AND c1 < t1")
-    return inner.select(*REGION, "cells", "r0", "r1", "c0", "c1")
+    return inner.select(*REGION, *by, "cells", "r0", "r1", "c0", "c1")
 
 
 def outline_edges(labelled: DataFrame) -> DataFrame:
@@ -213,18 +217,52 @@ def representative_cell(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _supported_block(col: str, threshold: float, signs: tuple[int, ...]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, v = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf[col].to_numpy(float)
+        r0, c0 = r.min() - 1, c.min() - 1
+        value = np.full((r.max() - r0 + 2, c.max() - c0 + 2), np.nan)
+        value[r - r0, c - c0] = v
+
+        def all_four(flag: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(flag)
+            out[1:-1, 1:-1] = flag[1:-1, 1:-1] & flag[:-2, 1:-1] & flag[2:, 1:-1] & flag[1:-1, :-2] & flag[1:-1, 2:]
+            return out
+
+        inside = all_four(np.isfinite(value))
+        clear = all_four(inside)  # an interior cell beside a non-interior one is exposed
+        own = np.zeros_like(inside)
+        at = pdf["_own"].to_numpy()
+        own[r[at] - r0, c[at] - c0] = True
+        frames = []
+        for sign in signs:
+            mask = own & inside & (np.nan_to_num(value) * sign >= threshold)
+            labels = label_grid(mask)
+            rows, cols = np.nonzero(mask)
+            packed = (rows + r0).astype("int64") * 4294967296 + (cols + c0)
+            part = pd.Series(packed).groupby(labels[rows, cols]).transform("min")
+            frames.append(pd.DataFrame({"survey_id": pdf["survey_id"].iloc[0], "row": rows + r0, "col": cols + c0, col: value[rows, cols], "sign": sign,
+                                        "_exposed": ~clear[rows, cols], "part": part.to_numpy("int64")}))
+        return pd.concat(frames, ignore_index=True)
+
+    return run
+
+
 def supported_mask(surface: DataFrame, col: str, threshold: float, sign: int = 1, block: int = BLOCK) -> DataFrame:
-    """Labelled cells with ``sign*col >= threshold`` whose whole region stays clear of unsupported ground.
+    """Labelled cells with ``sign*col >= threshold`` whose whole region stays clear of unsupported ground."""
+    return supported_masks(surface, col, threshold, (sign,), block).drop("sign")
+
+
+def supported_masks(surface: DataFrame, col: str, threshold: float, signs: tuple[int, ...] = (1, -1), block: int = BLOCK) -> DataFrame:
+    """The masks of several signs from one pass over the surface (``sign`` column).
 
     Interior means the cell and its four neighbours have a value; any region beside (or on) a non-interior cell goes.
+    One exchange feeds a block kernel that thresholds, tests support and labels; only masked cells come out.
     """
-    from fellscan.operators.components import label
-
-    valid = surface.where(F.col(col).isNotNull()).select("survey_id", "row", "col", col)
-    blocks = tiled(valid, 2, block).withColumn("_valid", F.lit(1))
-    blocks = edge_neighbours(edge_neighbours(blocks, "_valid", "_n").withColumn("_inside", F.when(F.col("_n") == 4, 1)), "_inside", "_m")
-    cells = owned(blocks).where(F.col("_inside").isNotNull() & (F.col(col) * sign >= threshold))
-    # an interior cell with fewer than four interior neighbours stands beside unsupported ground
-    labelled = label(cells.select("survey_id", "row", "col", col, (F.col("_m") < 4).alias("_exposed")), block)
-    bad = labelled.where("_exposed").select(*REGION).distinct()
-    return labelled.drop("_exposed").join(bad, REGION, "left_anti")
+    valid = surface.where(F.col(col).isNotNull()).select("survey_id", "row", "col", F.col(col).cast("double").alias(col))
+    types = {f.name: f.dataType.simpleString() for f in valid.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in ("survey_id", "row", "col", col)) + ", sign int, _exposed boolean, part bigint"
+    parts = tiled(valid, 2, block, exchange=False).groupBy(*BLOCK_KEYS).applyInPandas(_supported_block(col, threshold, signs), schema)
+    labelled = join_parts(parts, block, same=["sign"])
+    bad = labelled.where("_exposed").select(*REGION, "sign").distinct()
+    return labelled.drop("_exposed").join(bad, [*REGION, "sign"], "left_anti")
