@@ -64,10 +64,10 @@ def exclude_buildings(cands: DataFrame, buildings: DataFrame, cemeteries: DataFr
     if cemeteries is not None:
         if "ring" in buildings.columns:
             mean = lambda f: F.aggregate(F.slice("ring", 1, F.size("ring") - 1), F.lit(0.0), lambda a, p: a + f(p)) / (F.size("ring") - 1)
-            centre = buildings.select("id", mean(lambda p: p.lon).alias("lon"), mean(lambda p: p.lat).alias("lat"))
+            centre = buildings.select(F.col("id").alias("_b"), mean(lambda p: p.lon).alias("lon"), mean(lambda p: p.lat).alias("lat"))
         else:
-            centre = buildings.select("id", ((F.col("west") + F.col("east")) / 2).alias("lon"), ((F.col("south") + F.col("north")) / 2).alias("lat"))
-        exempt = _inside(centre, cemeteries, size, "lon", "lat").select(F.col("id")).distinct()
+            centre = buildings.select(F.col("id").alias("_b"), ((F.col("west") + F.col("east")) / 2).alias("lon"), ((F.col("south") + F.col("north")) / 2).alias("lat"))
+        exempt = _inside(centre, cemeteries, size, "lon", "lat").select(F.col("_b").alias("id")).distinct()
         buildings = buildings.join(exempt, "id", "left_anti")
     hit = _inside(cands.select(key, "lon", "lat"), buildings, size, "lon", "lat").select(key).distinct()
     return cands.join(hit, key, "left_anti")

@@ -66,7 +66,8 @@ def test_ridge_hollow_and_scarp(spark):
     ridge = 8 * np.exp(-((y - 60) ** 2) / 50) * (abs(x - 100) < 50)
     assert "ridge" in kinds(get_pass("geological_forms")(forms(spark, 10 + ridge)))
     assert "hollow" in kinds(get_pass("geological_forms")(forms(spark, 10 - ridge)))
-    face = np.clip((y - 57) * 1.0, 0, 6) * (abs(x - 100) < 60)
+    # a 45 degree face that fades out sideways: a cut-off plateau would have steep sides running off the survey
+    face = np.clip(y - 57.0, 0, 6) * np.clip((70 - abs(x - 100)) / 30, 0, 1)
     assert "scarp" in kinds(get_pass("geological_forms")(forms(spark, 10 + face)))
 
 

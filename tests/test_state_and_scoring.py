@@ -47,7 +47,7 @@ def test_scoring_counts_hits_duplicates_misses_and_exclusions(spark):
     out = evaluate.score_points(m, preds, "test", 10.0, 0.5)
     row = out["families"].first()
     assert (row.true_positives, row.false_positives, row.false_negatives) == (1, 2, 1)
-    assert abs(row.reviewed_area_km2 - (1e6 - np.pi * 100) / 1e6) < 1e-6
+    assert abs(row.reviewed_area_km2 - (1e6 - np.pi * 100) / 1e6) < 4e-6  # a half-metre lattice is good to a few square metres on this disc
     assert {x.prediction_id: x.duplicate for x in out["false_positives"].collect()} == {1: True, 3: False}
     assert sorted((x.prediction_id, x.reason) for x in out["excluded_predictions"].collect()) == [(4, "unresolved_label_neighborhood"), (5, "region_not_exhaustively_reviewed")]
     assert [x.label_id for x in out["excluded_labels"].collect()] == [4]
