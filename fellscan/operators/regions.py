@@ -191,8 +191,12 @@ def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block:
 def interiors(labelled: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
     """Cells enclosed by each region: not members, and cut off from outside under 8-connection.
 
-    The per-region step sees one region's first/last line cells and gaps, so callers pass area-bounded regions.
+    Callers pass area-bounded regions (detectors do); one above ``max_cells`` stops the job instead of filling a task.
     """
+    sizes = labelled.groupBy(*REGION).agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") > max_cells, F.raise_error("region too large for interiors").cast("boolean")).otherwise(True)
+    labelled = labelled.join(sizes.where(fits).select(*REGION), REGION, "left_semi")
+
     def enclosed(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         r0, c0 = r.min() - 1, c.min() - 1

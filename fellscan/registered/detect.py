@@ -543,26 +543,62 @@ def _d10(spark, sf):
                                rnd(F.col("morphometrics")["signed_relief_m"]).alias("signed_relief_m"))
 
 
-@register("c7_interiors")
+def holes_sql(lab: str, tag: str) -> str:
+    """Cells cut off from the corner of each region's grown bounding box, moving in eight directions outside the region."""
+    return f"""bb_{tag} AS (SELECT survey_id, region_id, min("row") - 1 AS r0, max("row") + 1 AS r1, min(col) - 1 AS c0, max(col) + 1 AS c1 FROM {lab} GROUP BY 1, 2),
+    fr_{tag} AS MATERIALIZED (SELECT b.survey_id, b.region_id, r, c FROM bb_{tag} b, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS r), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS c)
+      WHERE NOT EXISTS (SELECT 1 FROM {lab} l WHERE l.survey_id = b.survey_id AND l.region_id = b.region_id AND l."row" = r AND l.col = c)),
+    rc_{tag}(survey_id, region_id, r, c) AS (SELECT survey_id, region_id, r0, c0 FROM bb_{tag} UNION SELECT f.survey_id, f.region_id, f.r, f.c FROM rc_{tag} p JOIN fr_{tag} f ON f.survey_id = p.survey_id
+      AND f.region_id = p.region_id AND f.r BETWEEN p.r - 1 AND p.r + 1 AND f.c BETWEEN p.c - 1 AND p.c + 1),
+    ho_{tag} AS MATERIALIZED (SELECT f.* FROM fr_{tag} f WHERE NOT EXISTS (SELECT 1 FROM rc_{tag} p WHERE p.survey_id = f.survey_id AND p.region_id = f.region_id AND p.r = f.r AND p.c = f.c))"""
+
+
+@register("c7_interiors", f"""{LAB.replace('z > 600', 'z > 200')}, sz AS (SELECT survey_id, region_id FROM lab GROUP BY 1, 2 HAVING count(*) BETWEEN 8 AND 3000),
+    la AS MATERIALIZED (SELECT lab.* FROM lab JOIN sz USING (survey_id, region_id)), {holes_sql('la', 'h')} SELECT survey_id, region_id, count(*) AS hole_cells FROM ho_h GROUP BY 1, 2""")
 def _c7(spark, sf):
-    return regions.interiors(comp.label(smooth(spark, sf).where("z > -300"), BLOCK)).groupBy("survey_id", "region_id").agg(F.count("*").alias("hole_cells"))
+    lab = comp.drop_small(comp.label(smooth(spark, sf).where("z > 200").select("survey_id", "row", "col"), BLOCK), 8).where("cells <= 3000")
+    return regions.interiors(lab).groupBy("survey_id", "region_id").agg(F.count("*").alias("hole_cells"))
 
 
-@register("d11_enclosures")
+def enclosure_sql(sign: int, tag: str) -> str:
+    return f"""{REC_SMOOTH}, {relief_sql(10, 'r10', 1000)}, {supported_sql('r10', 0.1, sign, tag)}, {chosen_sql(tag, 20, 20000)}, {holes_sql('lab', 'h')},
+    ok AS (SELECT h.survey_id, h.region_id, count(*) AS hc, count(k.v) AS kc FROM ho_h h LEFT JOIN r10 k ON k.survey_id = h.survey_id AND k."row" = h.r AND k.col = h.c GROUP BY 1, 2 HAVING count(*) = count(k.v))
+    SELECT survey_id, region_id, {rd('0.4 + 0.4 * least(hc / 4.0, 1.0)')} AS score, 'enclosure' AS feature_type, CAST(n + hc AS DOUBLE) AS area_m2 FROM ok JOIN tp USING (survey_id, region_id)"""
+
+
+@register("d11_enclosures", f"SELECT * FROM ({enclosure_sql(1, 'a')}) UNION ALL SELECT * FROM ({enclosure_sql(-1, 'b')})")
 def _d11(spark, sf):
     f = get_pass("enclosures")(family_surface(spark, sf), threshold_m=0.1, min_interior_m2=1, block=BLOCK)
     return f.candidates.select("survey_id", "region_id", rnd("score").alias("score"), "feature_type", rnd("area_m2").alias("area_m2"))
 
 
+def coarse_surface(spark, sf):
+    """The same relief read as 2.5 m cells, so both radii fit between the survey's edges."""
+    out = focal.discovery_surface(smooth(spark, sf), 2.5, 2.5, BLOCK)
+    return out.withColumns({"relief_10": F.col("relief_10") / 1000, "relief_25": F.col("relief_25") / 1000})
+
+
 @register("d12_repeated_patterns")
 def _d12(spark, sf):
-    f = get_pass("repeated_patterns")(family_surface(spark, sf), min_area_m2=4, max_spacing_m=12, max_spacing_cv=1, block=BLOCK)
+    f = get_pass("repeated_patterns")(coarse_surface(spark, sf), threshold_m=0.9, max_spacing_m=40, max_spacing_cv=0.5, dx=2.5, dy=2.5, block=BLOCK)
     return f.candidates.select("survey_id", "region_id", rnd("score").alias("score"), "feature_type", rnd("area_m2").alias("area_m2"))
 
 
-@register("d13_geological_forms")
+def form_sql(sign: int, tag: str, kind: str) -> str:
+    return f"""{REC_SMOOTH}, {relief_sql(10, 'r25', 1000)}, {supported_sql('r25', 0.5, sign, tag)}, {chosen_sql(tag, 8, 8000)}, md AS (SELECT survey_id, region_id, quantile_cont(v, 0.5) AS sg FROM lab GROUP BY 1, 2)
+    SELECT survey_id, region_id, {rd('0.4 + 0.4 * (1 - exp(-abs(sg) / 1.5))')} AS score, '{kind}' AS feature_type, n * 6.25 AS area_m2 FROM tp JOIN rc USING (survey_id, region_id) JOIN md USING (survey_id, region_id)
+    WHERE holes = 0 AND length_m / greatest(width_m, 1e-9) >= 3"""
+
+
+SCARP = f"""{REC_SMOOTH}, {relief_sql(10, 'r25', 1000)}, {nine('smooth')}, sp AS MATERIALIZED (SELECT nb.survey_id, nb."row", nb.col, CASE WHEN {FULL} THEN degrees(atan(sqrt((nf-nd)/5*(nf-nd)/5+(nh-nb.nb)/5*(nh-nb.nb)/5))) END AS v FROM nb JOIN r25 USING (survey_id, "row", col)),
+    sq AS MATERIALIZED (SELECT * FROM sp WHERE v IS NOT NULL), {supported_sql('sq', 89.6, 1, 'c')}, {chosen_sql('c', 8, 8000)}, md AS (SELECT survey_id, region_id, avg(v) AS sg FROM lab GROUP BY 1, 2)
+    SELECT survey_id, -region_id - 1 AS region_id, {rd('0.4 + 0.4 * least(sg / 90, 1.0)')} AS score, 'scarp' AS feature_type, n * 6.25 AS area_m2 FROM tp JOIN md USING (survey_id, region_id)
+    WHERE outline_m * 2.5 / 2 >= 20 AND 2 * n * 6.25 / (outline_m * 2.5) <= 15"""
+
+
+@register("d13_geological_forms", f"SELECT * FROM ({form_sql(1, 'a', 'ridge')}) UNION ALL SELECT * FROM ({form_sql(-1, 'b', 'hollow')}) UNION ALL SELECT * FROM ({SCARP})")
 def _d13(spark, sf):
-    f = get_pass("geological_forms")(family_surface(spark, sf), threshold_m=0.5, min_area_m2=6, min_scarp_slope_deg=80, block=BLOCK)
+    f = get_pass("geological_forms")(coarse_surface(spark, sf), threshold_m=0.5, min_area_m2=50, min_scarp_slope_deg=89.6, dx=2.5, dy=2.5, block=BLOCK)
     return f.candidates.select("survey_id", "region_id", rnd("score").alias("score"), "feature_type", rnd("area_m2").alias("area_m2"))
 
 
