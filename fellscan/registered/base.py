@@ -15,7 +15,11 @@ def register(name: str, sql: str | None = None):
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.catalog.clearCache()  # tables held by an earlier query of the session are not needed again
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
