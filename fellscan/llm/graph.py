@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges meet its minimum in a join that can be split.
     """
     low, high = F.least(a, b), F.greatest(a, b)
+    seen = None
     now = cut_lineage(edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,6 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m < b").select(F.col("m").alias("a"), "b").distinct()
         small = cut_lineage(small)
-        if small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty():
+        mark = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if mark == seen:  # the round changed nothing
             return small.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        now = small
+        now, seen = small, mark

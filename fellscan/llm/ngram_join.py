@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from fellscan.llm.common import LOWER, UPPER, beside, landed
 from fellscan.llm.graph import components
@@ -57,15 +58,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(w: str) -> int:
-    return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
 class _Hashes(dict):
     """Hash of the lower-case form of each word."""
 
     def __missing__(self, w: str) -> int:
-        value = self[w] = _word_hash(w.translate(_LOWER))
+        value = self[w] = xxh3_64_intdigest(w.lower() if w.isascii() else w.translate(_LOWER))
         return value
 
 
@@ -319,3 +316,14 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = classes.select("set_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("comp"))
     out = described.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents of smallest doc_id in their component, with their columns; of rows that share that id the least stays.
+
+    Documents without words, linked with nothing, and those without an id all stay.
+    """
+    found = similar_components(docs, words, percent).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = landed(found, "join-gone")
+    once = beside(docs.withColumnRenamed("doc_id", "gone"), found, found.count(), ["gone"], "left_anti").withColumnRenamed("gone", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once
