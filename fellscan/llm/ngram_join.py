@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from fellscan.llm.common import LOWER, UPPER, beside, landed
+from fellscan.llm.common import BROADCAST_ROWS, LOWER, UPPER, beside, landed
 from fellscan.llm.graph import components
 
 WORDS, PERCENT = 3, 90
@@ -319,11 +319,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of smallest doc_id in their component, with their columns; of rows that share that id the least stays.
+    """The documents of smallest doc_id in their component, with their columns. Rows that share an id share its fate.
 
     Documents without words, linked with nothing, and those without an id all stay.
     """
-    found = similar_components(docs, words, percent).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    found = landed(found, "join-gone")
-    once = beside(docs.withColumnRenamed("doc_id", "gone"), found, found.count(), ["gone"], "left_anti").withColumnRenamed("gone", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return once
+    gone = landed(similar_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "join-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -125,7 +125,7 @@ w AS (SELECT doc_id, t, {_WORDS.format("t")} AS words FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
 s AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS s FROM g),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM s),
-p AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS at FROM r WHERE c > 1) GROUP BY doc_id),
+p AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM r WHERE c > 1) GROUP BY doc_id),
 l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 l AS (SELECT doc_id, line, {_WORDS.format("line")} AS ws FROM l0),
 v AS (SELECT doc_id, line, length(array_to_string(ws, '')) AS chars, len(ws) AS n,
@@ -151,4 +151,4 @@ s AS (SELECT doc_id, unnest(gs) AS s FROM g),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
-SELECT n.doc_id, n.n AS n_shingles, (SELECT min(b) FROM r WHERE r.a = n.doc_id) AS component_id FROM n"""
+SELECT n.doc_id, n.n AS n_shingles, m.b AS component_id FROM n JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = n.doc_id"""
