@@ -187,19 +187,24 @@ def best_dem(tiles: DataFrame, inventory: DataFrame, size: float = 0.05) -> Data
     return best.select(F.col("a_tile_id").alias("tile_id"), F.col("m.d").alias("dem_id"), (-F.col("m.o")).alias("overlap"))
 
 
+MERCATOR_LAT = 85.0511287798066
+
+
 def coverage_grid(inventory: DataFrame, bbox: tuple[float, float, float, float], z: int, cap: int | None = 200) -> DataFrame:
     """Tiles of a viewport marked ``lidar`` where some DEM overlaps them, else ``fallback``; refuses more than ``cap``."""
     spark = inventory.sparkSession
-    w, s, e, n = bbox
+    w, s, e, n = bbox[0], max(bbox[1], -MERCATOR_LAT), bbox[2], min(bbox[3], MERCATOR_LAT)
     x0, y0 = tile_position(F.lit(w), F.lit(n), F.lit(z))
     x1, y1 = tile_position(F.lit(e), F.lit(s), F.lit(z))
-    plan = spark.range(1).select(F.floor(x0).alias("x0"), F.floor(x1).alias("x1"), F.floor(y0).alias("y0"), F.floor(y1).alias("y1"))
+    on_grid = lambda c: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(2**z - 1))
+    plan = spark.range(1).select(on_grid(x0).alias("x0"), on_grid(x1).alias("x1"), on_grid(y0).alias("y0"), on_grid(y1).alias("y1"))
     if cap is not None:
         count = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
         plan = plan.where(F.when(count > cap, F.raise_error("viewport holds too many tiles").cast("boolean")).otherwise(True))
     tiles = plan.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("x", F.explode(F.sequence("y0", "y1")).alias("y"))
     tiles = tiles.withColumns({k: v for k, v in tile_bounds(F.lit(z), "x", "y").items()}).withColumn("tile_id", F.concat_ws("/", F.lit(z), "x", "y"))
-    hit = rect_join(tiles, tiles_intersecting(inventory, bbox), 360.0 / 2**z).select(F.col("a_tile_id").alias("tile_id")).distinct().withColumn("_hit", F.lit(True))
+    side = 360.0 / 2**z  # tiles at the rim reach outside the viewport, by one tile's side at most
+    hit = rect_join(tiles, tiles_intersecting(inventory, (w - side, s - side, e + side, n + side)), side).select(F.col("a_tile_id").alias("tile_id")).distinct().withColumn("_hit", F.lit(True))
     return tiles.join(hit, "tile_id", "left").select("x", "y", F.when(F.col("_hit"), "lidar").otherwise("fallback").alias("source"))
 
 

@@ -88,17 +88,17 @@ def label_candidates(labelled: DataFrame, surface: DataFrame) -> DataFrame:
     )
 
 
-def select_regions(labelled: DataFrame, surface: DataFrame, min_area: float, max_area: float, limit: int | None = 200,
+def select_regions(labelled: DataFrame, surface: DataFrame, min_area: float, max_area: float, limit: int | None = None,
                    dx: float = 1.0, dy: float = 1.0, by: list[str] | None = None) -> DataFrame:
-    """Largest regions inside the area window, then those touching the survey's edge removed (in that order).
+    """Regions inside the area window that do not touch the survey's edge.
 
-    The limit counts per survey, and per value of ``by`` where given.
+    With a ``limit`` only the largest of each survey (and value of ``by``, where given) are looked at, before edges are.
     """
     by = by or []
     sizes = labelled.groupBy(*REGION, *by).agg(
         F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")
     ).where((F.col("cells") * dx * dy >= min_area) & (F.col("cells") * dx * dy <= max_area))
-    if limit is not None:  # the limit is the feature: largest first per survey; the filter is pushed below the exchange
+    if limit is not None:  # only where the caller asks for it; the filter is pushed below the exchange
         rank = F.row_number().over(Window.partitionBy("survey_id", *by).orderBy(F.desc("cells"), "region_id"))
         sizes = sizes.withColumn("_k", rank).where(F.col("_k") <= limit).drop("_k")
     edge = surface.groupBy("survey_id").agg(F.min("row").alias("s0"), F.max("row").alias("s1"), F.min("col").alias("t0"), F.max("col").alias("t1"))

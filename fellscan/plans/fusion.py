@@ -58,16 +58,18 @@ def merge_clusters(cands: DataFrame, weights: dict[str, float], bonus: float = 1
                    coords: str = "lonlat") -> DataFrame:
     """One row per cluster: weighted confidence with agreement bonus, voted type, mean place, mean measures, largest outline.
 
+    Where candidates say whether they have an outline (``has_outline``), those that do come first for it.
+
     The candidates keep ``cluster_id``, so per-pass detail is a join away instead of a list that could grow with a
     crowded place; votes and measures aggregate by (cluster, type) and (cluster, key) first.
     """
     key = ([scope] if scope else []) + ["cluster_id"]
     px, py = ("lon", "lat") if coords == "lonlat" else ("x", "y")
     w = cands.withColumn("_w", weight_of(weights))
-    base = w.groupBy(*key).agg(
-        F.sum(F.col("_w") * F.col("score")).alias("_ws"), F.sum("_w").alias("_sw"), F.sort_array(F.collect_set("pass_name")).alias("source_passes"),
+    base = w.groupBy(*key).agg(  # decimal sums are the same in any order
+        F.sum((F.col("_w") * F.col("score")).cast("decimal(28,12)")).cast("double").alias("_ws"), F.sum(F.col("_w").cast("decimal(28,12)")).cast("double").alias("_sw"), F.sort_array(F.collect_set("pass_name")).alias("source_passes"),
         F.count("*").alias("members"), F.avg(px).alias(px), F.avg(py).alias(py),
-        F.min(F.struct((-F.coalesce("area_m2", F.lit(0.0))).alias("a"), F.col(id_col).alias("id"))).alias("_o"))
+        F.min(F.struct(*([(~F.col("has_outline")).alias("n")] if "has_outline" in cands.columns else []), (-F.coalesce("area_m2", F.lit(0.0))).alias("a"), F.col(id_col).alias("id"))).alias("_o"))
     votes = w.groupBy(*key, "feature_type").agg(F.round(F.sum(F.col("_w") * F.col("score")), 9).alias("v"))
     kind = votes.groupBy(*key).agg(F.min(F.struct((-F.col("v")).alias("v"), type_order(F.col("feature_type")).alias("o"), "feature_type")).alias("_t"))
     means = cands.select(*key, F.explode("morphometrics").alias("k", "v")).groupBy(*key, "k").agg(F.avg("v").alias("v"))

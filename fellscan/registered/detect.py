@@ -246,7 +246,7 @@ def _c8(spark, sf):
 
 WEIGHTS = PRESETS["sinkhole_survey"].weights
 W_SQL = "CASE pass_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 1.0 END"
-MERGE = f"""b AS (SELECT cluster_id, sum({W_SQL} * score) AS ws, sum({W_SQL}) AS sw, count(DISTINCT pass_name) AS np, count(*) AS members, avg(px0) AS ax, avg(py0) AS ay,
+MERGE = f"""b AS (SELECT cluster_id, CAST(sum(CAST({W_SQL} * score AS DECIMAL(28,12))) AS DOUBLE) AS ws, CAST(sum(CAST({W_SQL} AS DECIMAL(28,12))) AS DOUBLE) AS sw, count(DISTINCT pass_name) AS np, count(*) AS members, avg(px0) AS ax, avg(py0) AS ay,
       avg(depth_m) AS depth_m, avg(area_m2) AS area_m2, avg(circularity) AS circularity, avg(elongation) AS elongation, string_agg(DISTINCT pass_name, ',' ORDER BY pass_name) AS passes FROM cl GROUP BY 1),
     vt AS (SELECT cluster_id, feature_type, round(sum({W_SQL} * score), 9) AS v, CASE feature_type WHEN 'sinkhole' THEN 1 WHEN 'cave_entrance' THEN 2 ELSE 4 END AS o FROM cl GROUP BY 1, 2),
     tp AS (SELECT cluster_id, feature_type FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY v DESC, o) AS k FROM vt) q WHERE k = 1),
@@ -508,10 +508,10 @@ def _r22(spark, sf):
 
 
 def chosen_sql(tag: str, lo: float, hi: float) -> str:
-    """Largest 200 per survey inside the area window, clear of the survey edge, with rectangles and topology."""
+    """Regions inside the area window, clear of the survey edge, with rectangles and topology."""
     return f"""z_{tag} AS (SELECT survey_id, region_id, count(*) AS n, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM s_{tag} GROUP BY 1, 2 HAVING count(*) BETWEEN {lo} AND {hi}),
     y_{tag} AS (SELECT q.survey_id, region_id FROM (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY n DESC, region_id) AS k FROM z_{tag}) q
-      JOIN (SELECT survey_id, min("row") AS a, max("row") AS b, min(col) AS c, max(col) AS d FROM smooth GROUP BY 1) e ON e.survey_id = q.survey_id WHERE k <= 200 AND r0 > a AND r1 < b AND c0 > c AND c1 < d),
+      JOIN (SELECT survey_id, min("row") AS a, max("row") AS b, min(col) AS c, max(col) AS d FROM smooth GROUP BY 1) e ON e.survey_id = q.survey_id WHERE r0 > a AND r1 < b AND c0 > c AND c1 < d),
     lab AS MATERIALIZED (SELECT s.* FROM s_{tag} s JOIN y_{tag} y ON y.survey_id = s.survey_id AND y.region_id = s.region_id), {rect_sql('lab')}"""
 
 

@@ -274,13 +274,26 @@ def _p11(spark, sf):
     return contracts.drop_nonfinite(c).select("cand_id")
 
 
-@register("p13_check_params", f"""WITH {CAND} SELECT rule, pass_name, count(*) AS n FROM cand, (VALUES ('max_spacing_cv', 'above 1'), ('min_area_m2', 'exceeds max_area_m2'), ('shine', 'unknown')) v(parameter, rule) GROUP BY 1, 2""")
-def _p13(spark, sf):
-    from fellscan.plans.discovery import check_params
+P13_NAMES = ("min_members", "max_spacing_cv", "flat_slope_deg", "min_area_m2", "max_area_m2", "shine", "threshold_m")
+
 
-    bad = check_params(spark, {"shine": 1, "max_spacing_cv": 2, "min_area_m2": 50, "max_area_m2": 40}, {"max_spacing_cv": 0.25, "min_area_m2": 20, "max_area_m2": 30})
-    per = fixture(spark, sf, "cand").groupBy("pass_name").agg(F.count("*").alias("n"))
-    return per.crossJoin(F.broadcast(bad.select("rule"))).select("rule", "pass_name", "n")  # a handful of rules
+@register("p13_check_params", f"""WITH st AS (SELECT l_orderkey AS run_id, [{", ".join(f"'{n}'" for n in P13_NAMES)}][l_linenumber] AS parameter, CASE WHEN l_returnflag = 'R' AND l_quantity < 3 THEN NULL
+      ELSE CASE WHEN l_linenumber = 2 THEN l_discount * 20 ELSE CAST(l_quantity AS DOUBLE) * (CASE WHEN l_linenumber = 3 THEN 2.5 ELSE 5.0 END) END END AS value, l_linenumber <> 6 AS known FROM lineitem),
+    up AS (SELECT run_id, max(value) AS upper FROM st WHERE parameter = 'max_area_m2' GROUP BY 1), j AS (SELECT st.*, upper, known AND value > 0 AND value <= 100000 AS usable FROM st LEFT JOIN up USING (run_id))
+    SELECT run_id, parameter, 'unknown' AS rule FROM j WHERE NOT known UNION ALL SELECT run_id, parameter, 'not a number in (0, 100000]' FROM j WHERE known AND NOT coalesce(usable, false)
+    UNION ALL SELECT run_id, parameter, 'members must be whole and 3..200' FROM j WHERE usable AND parameter = 'min_members' AND (value <> floor(value) OR value < 3 OR value > 200)
+    UNION ALL SELECT run_id, parameter, 'above 1' FROM j WHERE usable AND parameter = 'max_spacing_cv' AND value > 1 UNION ALL SELECT run_id, parameter, 'above 90 degrees' FROM j WHERE usable AND parameter = 'flat_slope_deg' AND value > 90
+    UNION ALL SELECT run_id, parameter, 'exceeds max_area_m2' FROM j WHERE usable AND parameter = 'min_area_m2' AND value > upper""")
+def _p13(spark, sf):
+    """Each order is a run, each of its lines one setting."""
+    from fellscan.plans.discovery import parameter_problems
+
+    line = F.col("l_linenumber").cast("int")
+    value = F.when(line == 2, F.col("l_discount") * 20).otherwise(F.col("l_quantity").cast("double") * F.when(line == 3, 2.5).otherwise(5.0))
+    settings = load(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.element_at(F.array(*[F.lit(n) for n in P13_NAMES]), line).alias("parameter"),
+        F.when(~((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 3)), value).cast("double").alias("value"), (line != 6).alias("known"))
+    return parameter_problems(settings)
 
 
 # ---- reports -------------------------------------------------------------------------------------------------------

@@ -112,13 +112,13 @@ def _shaded(spark, sf):
 
 
 def offsets_sql(radius: float) -> str:
-    rows = [f"({i},{r},{c},{d!r})" for i, ray in enumerate(horizon.ray_plan(1.0, 1.0, radius)) for r, c, d in ray]
+    rows = [f"({i},{r},{c},{float(d)!r})" for i, r, c, d in horizon.ray_table(1.0, 1.0, radius).itertuples(index=False)]
     return f"off(ray, dr, dc, dist) AS (VALUES {','.join(rows)})"
 
 
 def horizon_sql(radius: int, select: str, extra: str = "") -> str:
     """Rays by joining every cell to its offsets; support by counting the box."""
-    rx, ry = horizon.reach_of(horizon.ray_plan(1.0, 1.0, radius))
+    rx, ry = horizon.reach_of(horizon.ray_table(1.0, 1.0, radius))
     return f"""WITH {DEM}, d AS MATERIALIZED (SELECT survey_id, "row", col, z / 50.0 AS z FROM dem), {offsets_sql(radius)},
     full_box AS (SELECT a.survey_id, a."row", a.col FROM d a JOIN d b ON a.survey_id = b.survey_id AND b."row" BETWEEN a."row" - {ry} AND a."row" + {ry}
       AND b.col BETWEEN a.col - {rx} AND a.col + {rx} GROUP BY 1, 2, 3 HAVING count(*) = {(2 * rx + 1) * (2 * ry + 1)}),
@@ -244,7 +244,7 @@ SIZES = """sz AS (SELECT survey_id, region_id, count(*) AS cells, min("row") AS
     sv AS (SELECT survey_id, min("row") AS s0, max("row") AS s1, min(col) AS t0, max(col) AS t1 FROM smooth GROUP BY 1)"""
 
 
-@register("c4_select_regions", f"""{LAB}, {SIZES} SELECT survey_id, region_id, cells FROM rk JOIN sv USING (survey_id) WHERE k <= 200 AND r0 > s0 AND r1 < s1 AND c0 > t0 AND c1 < t1""")
+@register("c4_select_regions", f"""{LAB}, {SIZES} SELECT survey_id, region_id, cells FROM rk JOIN sv USING (survey_id) WHERE r0 > s0 AND r1 < s1 AND c0 > t0 AND c1 < t1""")
 def _select(spark, sf):
     return regions.select_regions(labelled(spark, sf), smooth(spark, sf), 5, 60).select("survey_id", "region_id", "cells")
 
