@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from fellscan.llm.common import ascii_lower, beside, landed, shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream alone: the state on disk, without space reserved ahead for each of its many small files.
+STREAM_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 BYTES_PER_BATCH = 1 << 36
 #: Rows of digest and id that may be broadcast (about 30 MB); more are joined by a shuffle.
 HIT_ROWS = 250_000
@@ -52,14 +53,16 @@ def keyed_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     The same checkpoint folder may be used again with more input; the state then goes on from where it was.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STREAM_SETTINGS}
     state = stream.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
-    spark.conf.set(PROVIDER, ROCKSDB)
+    for k, v in STREAM_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     table = spark.read.format("statestore").load(checkpoint)
     n, last = (F.col(f"value.{f.name}") for f in table.schema["value"].dataType.fields)
     return table.select("key.digest", n.alias("n"), last["doc_id"].alias("keep_id"), last["locator"].alias("locator"))
