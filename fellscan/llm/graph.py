@@ -17,18 +17,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges meet its minimum in a join that can be split.
     """
     low, high = F.least(a, b), F.greatest(a, b)
-    seen = None
     now = cut_lineage(edges.where(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b")).distinct())
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), F.col("b")).where("a < b").distinct()
-        large = cut_lineage(large)
+        large = cut_lineage(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), F.col("b")).where("a < b").distinct())
         # small star: a node's smaller neighbours and itself hang on the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m < b").select(F.col("m").alias("a"), "b").distinct()
-        small = cut_lineage(small)
-        mark = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.bit_xor(F.xxhash64("b", "a"))).first()
-        if mark == seen:  # the round changed nothing
-            return small.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(small.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        now, seen = small, mark
+        now = cut_lineage(large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m < b").select(F.col("m").alias("a"), "b").distinct())
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or hangs on a single one."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return roles.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("down > 1 OR (up = 1 AND down = 1)").isEmpty()

@@ -10,10 +10,10 @@
    SPARE empty ones, and only such sets give theirs. Components of documents that share a segment are the blocks;
    documents alone in theirs have no partner and end here.
 3. In a block, T-occurrence search: inverted lists from shingle to documents; a query's lists are divided into the L
-   longest and the rest; the short ones are merged with a heap, lists without a chance skip ahead by binary search, and
-   a document met T - L times is probed for in the long ones, also by binary search, until it has T or cannot reach it.
-   An exact test on the sets follows. Documents of the query's own component are left out: links are wanted for
-   reachability, so a block of near copies costs about one probe a document.
+   longest and the rest; the short ones are merged with a heap that skips ahead by binary search (by one sort of arrays
+   where they hold over HEAP_POSTINGS entries), and documents met T - L times are probed for in the long ones by binary
+   search, all at once, for as long as they can reach their overlap, which is then exact. Documents of the query's own
+   component are left out: links are wanted for reachability, so a block of near copies costs about one probe a document.
 4. A block above BLOCK_DOCS documents or BLOCK_SHINGLES shingles is dealt over parts, which are searched each on its own
    with the block's PIVOTS in all of them; if that leaves more than one component, all pairs of its parts are searched,
    again without pairs already connected. No partner or candidate is ever capped.
@@ -43,7 +43,7 @@ from fellscan.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 CLASS_RATIO, SPARE = 1.4, 2
-BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, LONG_LIST = 2_000, 3_000_000, 4, 64
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, HEAP_POSTINGS = 2_000, 3_000_000, 4, 512
 REMEMBERED = 300_000
 _SPACE, _LOWER = re.compile("[\x20\x09-\x0d]+"), str.maketrans(UPPER, LOWER)
 #: What str.split() takes for blank beyond the contract's separators.
@@ -230,20 +230,24 @@ def search(sets: list[np.ndarray], percent: int = PERCENT, known: list[int] | No
         if len(lists) < need:
             continue
         lists.sort(key=len)
-        n_long = min(need - 1, sum(len(x) > LONG_LIST for x in lists))
-        n_long = max(n_long, min(need - 1, len(lists) - (len(lists) - need + 1)))
+        n_long = need - 1  # each of the others may then hold a partner that the long ones only confirm
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :][::-1]
-        for c, count in merge_short(short, need - n_long):
-            if roots[c] == roots[q]:
+        if sum(map(len, short)) <= HEAP_POSTINGS:
+            met = merge_short(short, need - n_long)
+            found, count = np.array([c for c, _ in met], np.int64), np.array([k for _, k in met], np.int64)
+        else:  # the same merge, as one sort of arrays
+            found, count = np.unique(np.concatenate(short), return_counts=True)
+        must = -(-percent * (sizes[q] + sizes[found]) // (100 + percent))
+        for left, x in zip(range(len(long_) - 1, -1, -1), long_):  # binary search of all that may still reach their overlap
+            at = np.minimum(np.searchsorted(x, found), len(x) - 1)
+            count = count + (x[at] == found)
+            if (may := count + left >= must).all():
                 continue
-            must, left = _needed(int(sizes[q]), int(sizes[c]), percent), len(long_)
-            for x in long_:
-                if count >= must or count + left < must:
-                    break
-                at = bisect.bisect_left(x, c)
-                count += at < len(x) and x[at] == c
-                left -= 1
-            if count >= must and linked(q, c):
+            found, count, must = found[may], count[may], must[may]
+            if not len(found):
+                break
+        for c in found[count >= must].tolist():
+            if roots[c] != roots[q]:
                 connect(q, c)
     return links
 
@@ -266,14 +270,24 @@ def describe(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 
 def _search_groups(members: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
-    """Links (a, b) found in each group of (doc_id, text, comp, side)."""
+    """For each group of (doc_id, text, comp, side), (a, b) of every document b that the links found join to a smaller a.
+
+    Each set of linked documents comes as a star around its smallest, which is all that reachability needs.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id")
         ids = pdf["doc_id"].tolist()
         side = None if pdf["side"].nunique() < 2 else pdf["side"].to_numpy()
         found = search([shingles(t, words) for t in pdf["text"]], percent, pdf["comp"].tolist(), side) if len(ids) > 1 else []
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+        forest = Forest(len(ids))
+        for i, j in found:
+            forest.join(i, j)
+        members: dict[int, list] = {}
+        for i in {i for link in found for i in link}:
+            members.setdefault(forest.root(i), []).append(ids[i])
+        stars = [(min(m), x) for m in members.values() for x in m if x != min(m)]
+        return pd.DataFrame({"a": [a for a, _ in stars], "b": [b for _, b in stars]}, dtype="int64")
 
     return members.groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
 
