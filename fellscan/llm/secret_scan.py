@@ -1,17 +1,18 @@
 """Secret scan with a worklist of decoded layers.
 
-The text is scanned as it stands (base spans). Then every run in it that is percent-encoded, holds ``\\uXXXX``, ``\\xXX``
-or ``&#N;`` escapes, or is base64 is unwrapped into a layer of its own; base64 that turns out to be gzip, zlib, bzip2, xz
-or zstandard data is decompressed on the way. Each layer is scanned and searched for further runs, until none is left. A
-layer whose content was already seen in the document is not entered again, so nesting that comes back to itself ends.
+The text is scanned as it stands (base spans). Then every line in it that holds percent-encoding, or ``\\uXXXX``, ``\\xXX``
+or ``&#N;`` escapes, is unwrapped into a layer of its own, so that a key in plain letters stays beside its encoded value,
+and so is every base64 run; base64 that turns out to be gzip, zlib, bzip2, xz or zstandard data is decompressed on the
+way. Each layer is scanned and searched for further ones, until none is left. A layer whose content was already seen at
+the same place is not entered again, so nesting that comes back to itself ends, and repeated lines are all scanned.
 Every character of a layer knows the stretch of the original text it came from, and a secret found in a layer is reported
 at the original stretch of its characters. Text and escapes are unwrapped character by character; what comes out of
 base64 stands for the whole base64 run.
 
 Null text counts as empty. Spans count code points, the end exclusive. A map over the rows without a shuffle; long texts
-cost in proportion, since layers are the runs alone. Decompression stops at MAX_UNPACKED bytes a run, which bounds memory
-against decompression bombs; such a run is scanned as far as that and the row says so in ``n_cut``. Repeated rows give
-repeated results, empty tables empty ones; only doc_id and text are read.
+cost in proportion, since layers are those lines and runs alone, found in one pass each. Decompression stops at
+MAX_UNPACKED bytes a run, which bounds memory against decompression bombs; such a run is scanned as far as that and the
+row says so in ``n_cut``. Repeated rows give repeated results, empty tables empty ones; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ MAX_UNPACKED, MIN_BASE64 = 1 << 24, 16
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
-_URL_RUN = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_ESCAPED_RUN = re.compile(r"(?:[^\s\"'<>\\&]|\\(?!u[{0-9A-Fa-f]|x[0-9A-Fa-f])|&(?!#))*(?:" + _ESCAPE.pattern.replace("(", "(?:") + r")(?:[^\s\"'<>]*)")
 _BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 _TEXT_BREAK = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
 
@@ -51,26 +51,20 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _percent(run: str) -> tuple[str, list[tuple[int, int]]]:
-    """The decoded run, and the stretch of it that each character came from."""
-    chars, places, i = [], [], 0
-    while i < len(run):
-        j, raw = i, bytearray()
-        while run[j : j + 1] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[j + 1 : j + 3]):
-            raw.append(int(run[j + 1 : j + 3], 16))
-            j += 3
-        if not raw:
-            chars.append(run[i])
-            places.append((i, i + 1))
-            i += 1
-            continue
-        at = 0
-        for c in raw.decode("utf-8", "replace"):
-            n = len(c.encode("utf-8")) if c != "\ufffd" else 1
+def _percent(line: str) -> tuple[str, list[tuple[int, int]]]:
+    """The decoded line, and the stretch of it that each character came from. Bytes that are not UTF-8 stand alone."""
+    chars, places, at = [], [], 0
+    for m in _PERCENT.finditer(line):
+        chars.extend(line[at : m.start()])
+        places.extend((k, k + 1) for k in range(at, m.start()))
+        at = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            n = 3 if 0xDC80 <= ord(c) <= 0xDCFF else 3 * len(c.encode("utf-8"))
             chars.append(c)
-            places.append((i + 3 * min(at, len(raw) - 1), i + 3 * min(at + n, len(raw))))
+            places.append((at, at + n))
             at += n
-        i = j
+    chars.extend(line[at:])
+    places.extend((k, k + 1) for k in range(at, len(line)))
     return "".join(chars), places
 
 
@@ -113,8 +107,7 @@ def unpack(data: bytes) -> tuple[bytes, bool]:
             elif data[:4] == b"\x28\xb5\x2f\xfd":
                 import zstandard
 
-                more = zstandard.ZstdDecompressor().decompressobj().decompress(data) if zstandard.frame_content_size(data) <= MAX_UNPACKED else b""
-                cut |= not more
+                more = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_UNPACKED)
             else:
                 break
         except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, RuntimeError):
@@ -145,16 +138,25 @@ def _base64(run: str) -> tuple[str, bool] | None:
     return (text, cut) if text and not _TEXT_BREAK.search(text) else None
 
 
+def _lines_with(pattern: re.Pattern, text: str):
+    """(start, line) of each line that holds the pattern; no kind of secret goes over a line's end."""
+    at = 0
+    while (m := pattern.search(text, at)) is not None:
+        start, at = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        at = at if at >= 0 else len(text)
+        yield start, text[start:at]
+
+
 def layers(text: str):
-    """(decoded text, place in ``text`` of each character, cut) of every run in one layer."""
+    """(decoded text, place in ``text`` of each character, cut) of every line or run in one layer."""
     if "%" in text:
-        for m in _URL_RUN.finditer(text):
-            chars, places = _percent(m[0])
-            yield chars, [(m.start() + a, m.start() + b) for a, b in places], False
+        for start, line in _lines_with(_PERCENT, text):
+            chars, places = _percent(line)
+            yield chars, [(start + a, start + b) for a, b in places], False
     if "\\" in text or "&#" in text:
-        for m in _ESCAPED_RUN.finditer(text):
-            chars, places = _escapes(m[0])
-            yield chars, [(m.start() + a, m.start() + b) for a, b in places], False
+        for start, line in _lines_with(_ESCAPE, text):
+            chars, places = _escapes(line)
+            yield chars, [(start + a, start + b) for a, b in places], False
     for m in _BASE64_RUN.finditer(text):
         if (got := _base64(m[0])) is not None:
             yield got[0], [m.span()] * len(got[0]), got[1]
@@ -164,7 +166,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans, all spans, number of layers entered, and of runs cut by the limit."""
     text = text or ""
     base = find(text)
-    spans, seen, work, entered, n_cut = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, [(text, None)], 0, 0
+    spans, seen, work, entered, n_cut = set(base), set(), [(text, None)], 0, 0
     while work:
         layer, origin = work.pop()
         for chars, places, cut in layers(layer):
@@ -172,10 +174,9 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             if origin is not None:
                 places = [(origin[a][0], origin[b - 1][1]) for a, b in places]
             mark = hashlib.sha256(f"{places[0][0]}:{places[-1][1]}:".encode() + chars.encode("utf-8", "surrogatepass")).digest() if chars else None
-            content = hashlib.sha256(chars.encode("utf-8", "surrogatepass")).digest()
-            if mark is None or mark in seen or content in seen and origin is not None:
+            if mark is None or mark in seen:
                 continue
-            seen |= {mark, content}
+            seen.add(mark)
             entered += 1
             spans.update((places[a][0], kind, places[b - 1][1]) for a, kind, b in find(chars))
             work.append((chars, places))

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from fellscan.llm import cotraining, exact_dedup, license_scan, mixing, ngram_join, piece_dropout, pretokens, quality_rules, secret_scan, token_count, token_store
@@ -120,6 +121,16 @@ def test_secret_layers_are_unwrapped_to_the_end():
     assert secret_scan.scan("%2525" * 50)[1] == []
 
 
+def test_secret_layers_keep_their_line_and_place():
+    twice = urllib.parse.quote(urllib.parse.quote("token='abcdef99'", safe=""), safe="")
+    text = f"{twice}\nbetween\n{twice}\npassword: %73%65cret99\n\\u0041KIAABCDEFGH12345678 token=%61bcdef%FF"
+    found = [text[a:b] for a, _, b in secret_scan.scan(text)[1]]
+    assert found == [twice[: -len("%2527")]] * 2 + ["password: %73%65cret99", "\\u0041KIAABCDEFGH12345678", "token=%61bcdef"]
+    frame = zstandard.ZstdCompressor().compressobj()  # a frame that does not tell its size
+    data, cut = secret_scan.unpack(frame.compress(bytes(secret_scan.MAX_UNPACKED + 1)) + frame.flush())
+    assert len(data) == secret_scan.MAX_UNPACKED and cut
+
+
 def test_exact_dedup(docs):
     groups = {}
     for i, t, _ in texts(docs):
