@@ -69,10 +69,10 @@ def ground_share(points: DataFrame, threshold: float = 0.10) -> DataFrame:
     return points.groupBy("survey_id").agg(share.alias("ground_share")).withColumn("pre_classified", F.col("ground_share") > threshold)
 
 
-def _covered(points: DataFrame, res: float, radius: float) -> DataFrame:
+def _covered(points: DataFrame, res: float, radius: float, bounds: DataFrame | None = None) -> DataFrame:
     """Each point once per cell whose centre lies within the radius; carries the distance ``d``."""
     reach = math.ceil(radius / res)
-    top = extent(points)
+    top = extent(points) if bounds is None else bounds
     at = points.join(top, "survey_id").withColumns({"_u": (F.col("x") - F.floor("x0")) / res, "_v": (F.ceil("y1") - F.col("y")) / res}).drop("x0", "x1", "y0", "y1")
     moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)])
     out = at.withColumn("_m", F.explode(moves)).withColumns(
@@ -81,10 +81,11 @@ def _covered(points: DataFrame, res: float, radius: float) -> DataFrame:
     return out.withColumn("d", d).where(F.col("d") <= radius).drop("_u", "_v", "_m")
 
 
-def grid_mean(points: DataFrame, res: float = 1.0, radius: float = 1.5, fill: bool = True) -> DataFrame:
+def grid_mean(points: DataFrame, res: float = 1.0, radius: float = 1.5, fill: bool = True, bounds: DataFrame | None = None) -> DataFrame:
     """Mean elevation of the points within ``radius`` of each cell centre; bare cells beside a value take the
-    inverse-distance mean of their neighbours when ``fill``. Rows count from the survey's top, columns from its left."""
-    grid = _covered(points.select("survey_id", "x", "y", "z"), res, radius).groupBy(*KEYS).agg(F.avg("z").alias("z"))
+    inverse-distance mean of their neighbours when ``fill``. Rows count from the survey's top, columns from its left, by
+    the extent of the points given or by ``bounds``."""
+    grid = _covered(points.select("survey_id", "x", "y", "z"), res, radius, bounds).groupBy(*KEYS).agg(F.avg("z").alias("z"))
     if not fill:
         return grid
     around = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(1 / math.hypot(r, c)).alias("w"))

@@ -11,7 +11,7 @@ from fellscan.operators.blocks import BLOCK, KEYS
 from fellscan.operators.fill import fill_depressions
 from fellscan.operators.focal import derive, discovery_surface, lrm
 from fellscan.operators.horizon import horizon
-from fellscan.operators.pointgrid import grid_mean, smrf
+from fellscan.operators.pointgrid import extent, grid_mean, ground_share, smrf
 from fellscan.plans import discovery, passes  # noqa: F401  (declare the passes)
 from fellscan.plans.filters import post_fuse_chain, pre_fusion_filter
 from fellscan.plans.fusion import DISCOVERY, enrich, fuse, reclassify, union_passes
@@ -25,14 +25,17 @@ SVF_RADIUS = 10.0
 def build_terrain(points: DataFrame, res: float = 1.0, radius: float = 1.5, pre_classified: bool | None = None, block: int = BLOCK, **smrf_args) -> DataFrame:
     """Ground points gridded, filled, and derived: one row per cell with every derivative a preset may read.
 
-    ``pre_classified``: True trusts class 2, False filters ground first; None decides by the surveys' ground share.
+    ``pre_classified``: True trusts class 2, False filters ground first; None decides for each survey by its ground share.
+    The lattice starts at the top-left corner of all points, ground or not.
     """
+    filtered = lambda p: smrf(p, res=res, block=block, **smrf_args).where("ground").select(*points.columns)
     if pre_classified is None:
-        from fellscan.operators.pointgrid import ground_share
-
-        pre_classified = ground_share(points).where("NOT pre_classified").isEmpty()
-    ground = points.where("classification = 2") if pre_classified else smrf(points, res=res, block=block, **smrf_args).where("ground")
-    return add_derivatives(grid_mean(ground, res, radius), res, block=block)
+        marked = points.join(ground_share(points).select("survey_id", F.col("pre_classified").alias("_trusted")), "survey_id")
+        trusted = marked.where("_trusted AND classification = 2").select(*points.columns)
+        ground = trusted.unionByName(filtered(marked.where("NOT _trusted").select(*points.columns)))
+    else:
+        ground = points.where("classification = 2") if pre_classified else filtered(points)
+    return add_derivatives(grid_mean(ground, res, radius, bounds=extent(points)), res, block=block)
 
 
 def add_derivatives(dem: DataFrame, res: float = 1.0, kernels: tuple[int, ...] = (50, 100, 200), svf_radius: float = SVF_RADIUS, block: int = BLOCK,
@@ -68,35 +71,47 @@ def _settings(p: Preset, name: str, res: float, block: int) -> dict:
     return {**p.params.get(name, {}), **extra}
 
 
+def _point_places(cands: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """x, y in metres from the surface's corner; a point grid has cells of its own and starts at the outermost points."""
+    corner = extent(points).select("survey_id", "x0", "y1")
+    x = F.col("x0") + F.col("col") * cell - F.floor("x0")
+    y = F.ceil("y1") - (F.col("y1") - F.col("row") * cell)
+    return cands.join(corner, "survey_id").withColumns({"x": x, "y": y}).drop("x0", "y1")
+
+
 def run_preset(surface: DataFrame, points: DataFrame | None, name: str | Preset, eps: float = 10.0, res: float = 1.0, block: int = BLOCK) -> DataFrame:
     """Every pass of the preset, pre-filter, fusion in lattice metres, enrichment and reclassification; shape families join unfused.
 
     Returns (survey_id, cand_id, x, y, score, feature_type, morphometrics, source_passes, experimental); x, y in metres from
-    the survey's top-left corner, y downwards.
+    the survey's top-left corner (whole metres outside all of its points, where points are given), y downwards.
     """
     p = preset(name) if isinstance(name, str) else name
     surface = hold(surface)
     plain, shape, cells = [], [], []
     forms = None
+    on_surface = {"x": F.col("col") * res, "y": F.col("row") * res}
     for n in p.passes:
         step = get_pass(n)
         if step.reads == "points":
             if points is None:
                 continue
-            found = step(points, **_settings(p, n, res, block))
+            used = {**step.defaults, **_settings(p, n, res, block)}
+            found = step(points, **used)
+            plain.append(_point_places(found.candidates, points, used["cell_size_m"] if "cell_size_m" in used else used["search_radius_m"]))
+            continue
         elif n in DISCOVERY:
             forms = hold(discovery_surface(surface.select(*KEYS, "z"), res, res, block)) if forms is None else forms
             found = step(forms, **_settings(p, n, res, block))
         else:
             found = step(surface, **_settings(p, n, res, block))
-        (shape if n in DISCOVERY else plain).append(found.candidates)
-        if found.cells is not None and n not in DISCOVERY and step.reads != "points":
+        (shape if n in DISCOVERY else plain).append(found.candidates.withColumns(on_surface))
+        if found.cells is not None and n not in DISCOVERY:
             cells.append(found.cells.withColumn("pass_name", F.lit(n)))
     ident = F.concat_ws(":", "survey_id", "pass_name", F.col("region_id").cast("string"))
-    place = {"cand_id": ident, "x": F.col("col") * res, "y": F.col("row") * res}
+    outlined = F.lit(False) if not cells else F.col("pass_name").isin([n for n in p.passes if get_pass(n).reads != "points"])
     parts = []
     if plain:
-        cands = cut_lineage(pre_fusion_filter(union_passes(*plain)).withColumns(place))
+        cands = cut_lineage(pre_fusion_filter(union_passes(*plain)).withColumns({"cand_id": ident, "has_outline": outlined}))
         fused = cut_lineage(fuse(cands, p.weights, eps, min_conf=p.min_confidence, coords="metric", scope="survey_id"))
         if cells:
             outline = union_passes(*cells).withColumn("outline_id", ident)
@@ -106,7 +121,7 @@ def run_preset(surface: DataFrame, points: DataFrame | None, name: str | Preset,
         fused = reclassify(fused)
         parts.append(fused.select("survey_id", F.col("outline_id").alias("cand_id"), "cluster_id", "x", "y", "score", "feature_type", "morphometrics", "source_passes", F.lit(False).alias("experimental")))
     if shape:
-        forms_ = union_passes(*shape).where(F.col("score") >= p.min_confidence).withColumns(place)
+        forms_ = union_passes(*shape).where(F.col("score") >= p.min_confidence).withColumn("cand_id", ident)
         parts.append(forms_.select("survey_id", "cand_id", F.col("cand_id").alias("cluster_id"), "x", "y", "score", "feature_type", "morphometrics", F.array("pass_name").alias("source_passes"), F.lit(True).alias("experimental")))
     return union_passes(*parts)
 

@@ -141,3 +141,28 @@ def test_steep_rims_are_dropped_and_thin_ones_kept(spark):
     s = surface(spark, np.zeros((60, 60))).withColumn("slope", F.when(F.col("col") < 30, 30.0).otherwise(2.0))
     c = spark.createDataFrame([("s", 1, 15.5, 15.5, 50.0), ("s", 2, 40.5, 45.5, 50.0), ("s", 3, 20.5, 10.5, 0.2)], "survey_id string, region_id bigint, centroid_row double, centroid_col double, area_m2 double")
     assert sorted(r.region_id for r in filters.rim_filter(c, s).collect()) == [2, 3]
+
+
+def test_point_passes_are_placed_in_survey_metres(spark):
+    """A void at known metres is fused there, whatever the cells of the pass."""
+    from fellscan.plans.survey import run_preset
+    from fellscan.sources.presets import Preset
+
+    grid = [(x, y) for x in range(100) for y in range(100) if not (60 <= x < 70 and 30 <= y < 40)]
+    points = spark.createDataFrame([("s", 1000.5 + x, 2099.5 - y, 1, 2) for x, y in grid], "survey_id string, x double, y double, number_of_returns int, classification int")
+    surface = spark.createDataFrame([("s", 0, 0, 1.0)], "survey_id string, row long, col long, z double")
+    for cell in (1.0, 2.0, 5.0):
+        voids = Preset("voids", ["point_density"], 0.0, {}, {"point_density": {"cell_size_m": cell, "z_score_threshold": -0.5}})
+        (found,) = run_preset(surface, points, voids).collect()
+        assert abs(found.x - 65) <= 0.5 and abs(found.y - 35) <= 0.5
+
+
+def test_ground_is_decided_for_each_survey(spark):
+    """A survey without classes is filtered; beside it, one with classes keeps its own ground."""
+    from fellscan.plans.survey import build_terrain
+
+    rows = [("classed", x + 0.5, y + 0.5, 10.0 if (x, y) != (6, 6) else 30.0, 1, 2) for x in range(12) for y in range(12)]
+    rows += [("bare", x + 0.5, y + 0.5, 10.0 if (x, y) != (6, 6) else 30.0, 1, 1) for x in range(12) for y in range(12)]
+    points = spark.createDataFrame(rows, "survey_id string, x double, y double, z double, number_of_returns int, classification int")
+    top = {r.survey_id: r.z for r in build_terrain(points, window=4).groupBy("survey_id").agg(F.max("z").alias("z")).collect()}
+    assert top["classed"] > 11 and abs(top["bare"] - 10) < 1e-9
