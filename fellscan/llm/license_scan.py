@@ -6,6 +6,9 @@ so is that of each of its lines, for notices of one line in a longer text. Only
 
 Known texts are a table (license_id, text) of any size: digests are joined by hash, and Spark sends the table to all tasks
 only where its statistics prove it small; otherwise the join meets on digests, and Spark splits one that very many lines have.
+Without a table of the caller's they are KNOWN: the entire texts in ``known_licenses.jsonl``, a file of the package that the
+driver reads, with each of their titles and without one, with and without appendix, in the wordings, addresses and links in
+use, and notices of one line.
 A document's digests are gathered with combinable aggregates under a number of its row, so no source or line is a key.
 
 Null text counts as empty: it has the digest of the empty text, which no licence has. Repeated rows each give a row, empty
@@ -14,6 +17,9 @@ tables give empty results, other columns are not read.
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,24 @@ SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("per cent", "percent"), ("favour", "favor"),
     ("behaviour", "behavior"), ("honour", "honor"), ("organisation", "organization"), ("recognise", "recognize"), ("authorisation", "authorization"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"),
 )
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of each title, body and ending of the data file, as they stand and after each list of replacements."""
+    out = {}
+    for row in map(json.loads, pkgutil.get_data(__package__, "known_licenses.jsonl").decode("utf-8").rstrip("\n").split("\n")):
+        for title in row["titles"]:
+            for body in row["bodies"]:
+                for ending in row["endings"]:
+                    text = "\n".join(x for x in (title, body, ending) if x)
+                    for pairs in ([], *row["instead"]):
+                        other = text
+                        for a, b in pairs:
+                            other = other.replace(a, b)
+                        out[row["license_id"], other] = None
+    return tuple(out)
+
+
 #: Public licence texts and notices.
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS"'
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
@@ -47,6 +71,7 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *whole_texts(),
 )
 
 

@@ -3,8 +3,11 @@
 import base64
 import gzip
 import hashlib
+import json
+import pkgutil
 import random
 import re
+import textwrap
 import urllib.parse
 import zlib
 from collections import Counter
@@ -279,6 +282,22 @@ def test_license_scan(spark, docs):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_knows_whole_texts(spark):
+    """Entire texts of usual licences, wrapped anew, with and without title, appendix and copyright line."""
+    rows = [json.loads(x) for x in pkgutil.get_data("fellscan.llm", "known_licenses.jsonl").decode().strip().split("\n")]
+    want, docs = {}, []
+    for r in rows:
+        for k, (title, ending) in enumerate([(r["titles"][0], r["endings"][-1]), ("", r["endings"][0]), (r["titles"][0], r["endings"][0])]):
+            want[len(docs)] = r["license_id"]
+            body = "\n".join(textwrap.fill(p, 60 + 20 * k, break_long_words=False, break_on_hyphens=False) if "opyright" not in p else p for p in r["bodies"][0].split("\n\n"))
+            docs.append((len(docs), f"{title}\n\nCopyright (c) 2021 Some Body\n\n{body}\n\n{ending}\n"))
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(want.values())
+    bare = license_scan.KNOWN[0][1].split("\n", 1)[1]
+    docs += [(-1, bare), (-2, bare + "\nbut not quite"), (-3, rows[0]["bodies"][0][:-200])]
+    want |= {-1: "MIT", -2: None, -3: None}
+    assert {r.doc_id: r.license_id for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def test_cotraining_holds_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
