@@ -1,37 +1,47 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The model's BPE is followed as published: characters, then an agenda of neighbouring pairs that are in the vocabulary,
-best score first and leftmost among equals. With dropout a candidate taken from the agenda is skipped when a hash keyed
-by (seed, variant, word, merged piece, place) falls below the rate, so segmentations vary, yet the same seed gives the same
-ids on any cluster. A document's variant is a hash of its id; variants let a worker remember what a word gives, and
-another seed or more variants give other segmentations of the same corpus. No vocabulary piece holds a blank after
-another character nor a line feed (checked when the model is loaded), so words may be encoded one by one.
+best score first and leftmost among equals. With dropout each candidate taken from the agenda is skipped at the rate. The
+skips hang on the seed, the document (id and text), its copy number, the word's place in the text and the candidate's turn,
+so every occurrence of a word is segmented anew, yet the same seed gives the same ids on any cluster. Rows of equal id and
+text are copies of one document, numbered from 0; they differ in nothing but their segmentation.
+
+How many candidates pass between two skips is geometric, so one hash gives the turn of a word's next skip. What a word
+becomes hangs only on the turns of its skips, so workers remember it by these turns: the undropped ids and those after each
+list of skips that came up, never which occurrence had them. Long words are not remembered. No vocabulary piece holds a
+blank after another character nor a line feed (checked when the model is loaded), so words may be encoded one by one.
 
 Decoding joins the pieces' bytes and takes the leading blank away that encoding put there; it is lossless for every text,
 with any rate. A literal U+2581, which the library itself would return as a blank, is written in bytes for that.
 
-Null text counts as empty and gives no ids. Null doc_ids share a variant. A map over the rows without a shuffle: no hot
-keys, memory of one batch and bounded tables, and very long texts cost in proportion. Repeated rows give repeated
-results, empty tables empty ones; other columns are not read.
+Null text counts as empty and gives no ids. A map over the rows without a shuffle where all doc_ids differ, which is looked
+up first; else rows are dealt by id and text to number the copies, and a group is one document's equal rows. Memory of one
+batch and bounded tables; very long texts cost in proportion. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 import re
 import struct
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-SEED, DROPOUT, VARIANTS = 20_240_229, 0.1, 4
-REMEMBERED = 1_500_000
-_PRIME, _CHUNK = (1 << 31) - 1, re.compile(" *[^ ]+| +")
+SEED, DROPOUT = 20_240_229, 0.1
+#: Speed only: words and lists of skips remembered, and the longest word that is.
+REMEMBERED, LONG = 900_000, 40
+_MASK, _PLACE, _TURN = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_NEVER, _CHUNK = 1 << 30, re.compile(" *[^ ]+| +")
 _models: dict = {}
 
 
@@ -59,12 +69,14 @@ class Model:
                 self.bytes.append(piece.encode())
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
 
-    def word(self, word: str, rate: float, key: int) -> list[int]:
-        """Ids of a word by agenda; key is the hash of what the skips depend on besides piece and place.
+    def word(self, word: str, gaps: Iterable[int]) -> tuple[list[int], int]:
+        """Ids of a word by agenda, and how many candidates came after the last skip.
 
-        A symbol is known by where it starts; end[i] is where it ends, 0 once it has merged into the one before.
+        ``gaps`` says how many candidates are taken before each skip, without end. A symbol is known by where it starts;
+        end[i] is where it ends, 0 once it has merged into the one before.
         """
-        get, cost, n, limit = self.ids.get, self.costs, len(word), int(rate * _PRIME)
+        get, cost, n, gaps = self.ids.get, self.costs, len(word), iter(gaps)
+        left, since = next(gaps), 0
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(cost[p], i, i + 1, i + 2, p) for i in range(n - 1) if (p := get(word[i : i + 2])) is not None]
         heapify(agenda)
@@ -72,8 +84,10 @@ class Model:
             _, i, middle, e, p = heappop(agenda)
             if end[i] != middle or end[middle] != e:
                 continue  # one of the two has merged meanwhile
-            if limit and (((key ^ p * 40_503 ^ i * 69_069) * 48_271 % _PRIME ^ p) * 69_621) % _PRIME < limit:
+            if since == left:
+                left, since = next(gaps), 0
                 continue
+            since += 1
             end[i], end[middle] = e, 0
             if e < n:
                 before[e] = i
@@ -89,56 +103,141 @@ class Model:
             else:
                 out.extend(map(self.byte_ids.__getitem__, word[i:e].encode("utf-8", "surrogatepass")))
             i = e
-        return out
+        return out, since
+
+    def packed(self, word: str, gaps: Iterable[int]) -> tuple[int, bytes]:
+        ids, since = self.word(word, gaps)
+        return since, struct.pack(f"<{len(ids)}i", *ids)
+
+    def parted(self, word: str) -> tuple[str, bytes]:
+        """A word without the characters at its end that no piece joins to what stands before, and their ids."""
+        e = len(word)
+        while e > 1 and not word[e - 1].isalnum() and word[e - 2 : e] not in self.neighbours:
+            e -= 1
+        return word[:e], b"".join(self.packed(c, repeat(_NEVER))[1] for c in word[e:])
+
 
-    def single(self, c: str) -> bytes:
-        ids = self.word(c, 0.0, 0)
-        return struct.pack(f"<{len(ids)}i", *ids)
+class _Node:
+    """A word after some skips: how many candidates follow the last one, the ids if none of them is skipped, and else."""
+
+    __slots__ = ("after", "ids", "next", "skips", "word")
+
+    def __init__(self, model: Model, word: str, skips: tuple[int, ...], tail: bytes):
+        self.word, self.skips, self.next = (word, tail), skips, None
+        self.after, ids = model.packed(word, chain(skips, repeat(_NEVER)))
+        self.ids = ids + tail
 
 
 class _Words(dict):
-    """word -> its ids as bytes, for one variant; ``lead`` stands before each word."""
+    """word -> (candidates, ids, node) without skips; ``lead`` stands before each word."""
 
-    def __init__(self, model: Model, rate: float, seed: int, lead: str):
+    def __init__(self, model: Model, lead: str):
         super().__init__()
-        self.model, self.rate, self.seed, self.lead = model, rate, seed, lead
-
-    def __missing__(self, w: str) -> bytes:
-        word = self.lead + w
-        if len(w) > 1 and not w[-1].isalnum() and w[-2:] not in self.model.neighbours:  # no piece crosses this place
-            value = self[w] = self[w[:-1]] + self.model.single(w[-1])
-            return value
-        key = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed=self.seed) % _PRIME if self.rate else 0
-        ids = self.model.word(word, self.rate, key)
-        value = self[w] = struct.pack(f"<{len(ids)}i", *ids)
+        self.model, self.lead, self.n_nodes = model, lead, 0
+
+    def __missing__(self, w: str) -> tuple[int, bytes, _Node | None]:
+        head, tail = self.model.parted(self.lead + w)
+        if len(head) > LONG:
+            return 0, tail, None
+        node = _Node(self.model, head, (), tail)
+        value = self[w] = (node.after, node.ids, node)
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.n_nodes = 0
+
+
+def _mixed(x: int) -> int:
+    """splitmix64's last steps; _mixed_all is the same on arrays."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
+def _mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
 class Encoder:
-    def __init__(self, path: str, seed: int, rate: float, variants: int):
+    def __init__(self, path: str, seed: int, rate: float, remembered: int = REMEMBERED):
         gc.set_threshold(100_000, 50, 50)  # tables of strings form no cycles; looking through them often is waste
         self.model = _models.get(path) or _models.setdefault(path, Model(path))
-        seeds = [xxh3_64_intdigest(f"{seed}:{v}") for v in range(variants)]
-        self.after_blank = [_Words(self.model, rate, s, " ") for s in seeds]
-        self.plain = [_Words(self.model, rate, s, "") for s in seeds]
+        self.salt, self.rate, self.remembered = xxh3_64_intdigest(f"{seed}"), rate, remembered
+        self.after_blank, self.plain = _Words(self.model, " "), _Words(self.model, "")
         self.line_feed = np.array([self.model.byte_ids[10]], "<i4").tobytes()
-
-    def encode(self, text: str, variant: int) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+        # limits[g]: a hash below it, as a share of all, means that at most g candidates come before the skip
+        self.limits = np.array([]) if rate <= 0 else np.array([1.0]) if rate >= 1 else 1.0 - (1.0 - rate) ** np.arange(1, 2 + math.ceil(-37 / math.log1p(-rate)))
+        self.limit_list = self.limits.tolist()
+
+    def _first(self, key: int, n: int) -> tuple[list[int], list[int]]:
+        """For each place, how many candidates come before the first skip, and then before the second; _later gives the same."""
+        if not self.rate:
+            return [_NEVER] * n, [_NEVER] * n
+        start = _mixed_all(np.uint64((key ^ self.salt) & _MASK) + np.arange(n, dtype=np.uint64) * np.uint64(_PLACE))
+        turns = (_mixed_all(start + np.uint64(k * _TURN & _MASK)) for k in range(2))
+        return tuple(np.searchsorted(self.limits, (h >> np.uint64(11)) * 2.0**-53, side="right").tolist() for h in turns)
+
+    def _later(self, key: int, place: int) -> Iterator[int]:
+        """How many candidates come before each skip of the word at a place, without end."""
+        start, turn = _mixed((key ^ self.salt) + place * _PLACE & _MASK), 0
+        while True:
+            yield bisect_right(self.limit_list, (_mixed(start + turn * _TURN & _MASK) >> 11) * 2.0**-53) if self.rate else _NEVER
+            turn += 1
+
+    def _skipped(self, word: str, entry: tuple[int, bytes, _Node | None], table: _Words, key: int, place: int) -> bytes:
+        """Ids of a word of which a candidate is skipped, or which is too long to be remembered."""
+        node = entry[2]
+        if node is None:
+            head, tail = self.model.parted(table.lead + word)
+            return self.model.packed(head, self._later(key, place))[1] + tail
+        for gap in self._later(key, place):
+            if gap >= node.after:
+                return node.ids
+            if node.next is None:
+                node.next = {}
+            if (further := node.next.get(gap)) is None:
+                further = node.next[gap] = _Node(self.model, node.word[0], (*node.skips, gap), node.word[1])
+                table.n_nodes += 1
+            node = further
+
+    def encode(self, text: str, key: int) -> bytes:
+        """Ids as little-endian 32-bit integers; ``key`` is the hash that the document's skips hang on."""
         if not text:
             return b""
-        if sum(map(len, self.after_blank)) + sum(map(len, self.plain)) > REMEMBERED:
-            for t in (*self.after_blank, *self.plain):
-                t.clear()
-        blank, plain = self.after_blank[variant].__getitem__, self.plain[variant].__getitem__
-        lines = []
+        if sum(len(t) + t.n_nodes for t in (self.after_blank, self.plain)) > self.remembered:
+            self.after_blank.clear()
+            self.plain.clear()
+        blank, plain = self.after_blank, self.plain
+        words = []  # some words and their table, in turn; no words for a line's end
         for line in (" " + text).split("\n"):
             if "  " in line or line.endswith(" "):
-                lines.append(b"".join(map(plain, _CHUNK.findall(line))))
+                words.append((_CHUNK.findall(line), plain))
             else:
                 first, *rest = line.split(" ")
-                lines.append((plain(first) if first else b"") + b"".join(map(blank, rest)))
-        return self.line_feed.join(lines)
+                words.append(([first] if first else [], plain))
+                words.append((rest, blank))
+            words.append((None, None))
+        n, out, at = sum(len(w) for w, _ in words if w), [], 0
+        firsts, seconds = self._first(key, n)
+        for some, table in words:
+            if some is None:
+                out.append(self.line_feed)
+                continue
+            for w in some:
+                entry, gap = table[w], firsts[at]
+                if entry[2] is None:
+                    out.append(self._skipped(w, entry, table, key, at))
+                elif gap >= entry[0]:
+                    out.append(entry[1])
+                elif (following := entry[2].next) is not None and (node := following.get(gap)) is not None and seconds[at] >= node.after:
+                    out.append(node.ids)
+                else:
+                    out.append(self._skipped(w, entry, table, key, at))
+                at += 1
+        return b"".join(out[:-1])
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.model.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
@@ -155,23 +254,29 @@ def _encoder(*key) -> Encoder:
     return _encoders[key]
 
 
-def variant_of(doc_id: Column | str, seed: int = SEED, variants: int = VARIANTS) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(variants)).cast("int")
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the number of each row among the rows of equal id and text."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    # two hashes and the length stand for the text; rows of one group cannot be told apart, so their order is all the same
+    same = Window.partitionBy("doc_id", "low", "high", "length").orderBy("length")
+    told = rows.withColumns({"low": F.xxhash64("text"), "high": F.xxhash64(F.lit(1), "text"), "length": F.length("text")})
+    return told.withColumn("copy", F.row_number().over(same) - 1).drop("low", "high", "length")
 
 
-def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS, keep_ids: bool = True) -> DataFrame:
-    """doc_id, variant, n_pieces, ids_crc32, lossless (the ids were decoded and gave the text), and the ids themselves."""
+def encode(docs: DataFrame, path: str, seed: int = SEED, rate: float = DROPOUT, keep_ids: bool = True) -> DataFrame:
+    """doc_id, copy, n_pieces, ids_crc32, lossless (the ids were decoded and gave the text), and the ids themselves."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder = _encoder(path, seed, rate, variants)
+        coder = _encoder(path, seed, rate)
         for pdf in batches:
-            done = [coder.encode(t, v) for t, v in zip(pdf["text"], pdf["variant"])]
-            out = {"doc_id": pdf["doc_id"], "variant": pdf["variant"], "n_pieces": [len(d) // 4 for d in done], "ids_crc32": [zlib.crc32(d) for d in done], "lossless": [coder.decode(d) == t for d, t in zip(done, pdf["text"])]}
+            done = [coder.encode(t, k) for t, k in zip(pdf["text"], pdf["key"].tolist())]
+            out = {"doc_id": pdf["doc_id"], "copy": pdf["copy"], "n_pieces": [len(d) // 4 for d in done], "ids_crc32": [zlib.crc32(d) for d in done], "lossless": [coder.decode(d) == t for d, t in zip(done, pdf["text"])]}
             yield pd.DataFrame(out | ({"ids": [np.frombuffer(d, "<i4") for d in done]} if keep_ids else {}))
 
-    rows = docs.select("doc_id", variant_of("doc_id", seed, variants).alias("variant"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, variant int, n_pieces bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * keep_ids)
+    return numbered(docs).withColumn("key", F.xxhash64("doc_id", "text", "copy")).mapInPandas(run, f"doc_id {kind}, copy int, n_pieces bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * keep_ids)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -179,7 +284,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        coder = _encoder(path, SEED, 0.0, 1)
+        coder = _encoder(path, SEED, 0.0)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [None if x is None else coder.decode(np.asarray(x, "<i4").tobytes()) for x in pdf["ids"]]})
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import json
 import pkgutil
 import random
@@ -98,6 +99,52 @@ def test_piece_dropout(spark, docs):
     assert piece_dropout.encode(docs.limit(0), path).count() == 0
 
 
+def plain_dropout(model, word, gaps):
+    """Merges one by one over a list of symbols, the best pair first; gaps as in Model.word."""
+    symbols, skipped, left, since = [(i, c) for i, c in enumerate(word)], set(), gaps.pop(0), 0
+    while True:
+        pairs = [(model.costs[p], a[0], b[0], a[1] + b[1]) for a, b in zip(symbols, symbols[1:]) if (p := model.ids.get(a[1] + b[1])) is not None and (a[0], a[1] + b[1], b[0]) not in skipped]
+        if not pairs:
+            break
+        _, i, j, merged = min(pairs)
+        if since == left:
+            left, since = gaps.pop(0), 0
+            skipped.add((i, merged, j))
+            continue
+        since += 1
+        symbols = [(k, merged if k == i else c) for k, c in symbols if k != j]
+    return [x for _, c in symbols for x in ([model.ids[c]] if c in model.ids else [model.byte_ids[b] for b in c.encode()])]
+
+
+def test_dropout_of_every_occurrence(spark):
+    path = P.path("piece_bpe_32k.model")
+    coder = piece_dropout.Encoder(path, 1, 0.2)
+    rng, pool = random.Random(2), ["international", "segmentation,", "\u6f22\u5b57\u00e9!", "unbelievable" * 8, "of"]
+    chosen = [rng.choice(pool) for _ in range(600)]
+    ids, want = np.frombuffer(coder.encode(" ".join(chosen), 77), "<i4").tolist(), []
+    for place, w in enumerate(chosen):
+        want += plain_dropout(coder.model, " " + w, list(itertools.islice(coder._later(77, place), 100)))
+    assert ids == want  # a remembered word is what merging it afresh gives
+    assert len({tuple(plain_dropout(coder.model, " international", list(itertools.islice(coder._later(77, p), 50)))) for p in range(600)}) > 4
+    assert len({coder.encode("international", k) for k in range(600)}) > 4
+    share = sum(next(coder._later(9, p)) == 0 for p in range(20_000)) / 20_000
+    assert abs(share - 0.2) < 0.015
+    assert coder.decode(coder.encode("a" + "\u2014" * 50_000, 3)) == "a" + "\u2014" * 50_000  # no recursion a character
+
+
+def test_copies_are_segmented_apart(spark):
+    """Rows of one document, as mixing makes them, get ids of their own, the same however the rows are dealt."""
+    path = P.path("piece_bpe_32k.model")
+    text = "international organisations considered unbelievable segmentation"
+    rows = [(1, text)] * 6 + [(2, text), (None, text), (None, text), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.copy, r.ids_crc32) for r in piece_dropout.encode(docs.repartition(5), path, rate=0.3).collect()), key=str)
+    assert got == sorted(((r.doc_id, r.copy, r.ids_crc32) for r in piece_dropout.encode(docs.coalesce(1), path, rate=0.3).collect()), key=str)
+    assert [c for i, c, _ in got if i == 1] == list(range(6)) and len({x for i, _, x in got if i == 1}) > 4
+    alone = piece_dropout.encode(docs.where("doc_id = 2"), path, rate=0.3).first()
+    assert (2, 0, alone.ids_crc32) in got  # not what stands beside it
+
+
 def plain_base(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
