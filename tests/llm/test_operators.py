@@ -1,10 +1,12 @@
 """The training-data operators against plain versions, and their edge cases: nulls, empty and long texts, repeats, no rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import itertools
 import json
+import lzma
 import pkgutil
 import random
 import re
@@ -181,6 +183,30 @@ def test_secret_layers_keep_their_line_and_place():
     assert len(data) == secret_scan.MAX_UNPACKED and cut
 
 
+def test_secret_layers_of_members_bytes_and_wrapped_lines():
+    secret, noise = b"password = 'hunter2hunter2'", "".join(random.Random(4).choice("abcdefghij \n") for _ in range(3000)).encode()
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrap = lambda t, n: "\n".join(t[k : k + n] for k in range(0, len(t), n))
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+    runs = {f"members {k}": b64(pack(noise) + pack(secret)) for k, pack in enumerate(packers)}
+    runs |= {f"percent {k}": urllib.parse.quote(pack(secret), safe="") for k, pack in enumerate(packers)}
+    runs |= {f"form {k}": urllib.parse.quote_plus(pack(secret)) for k, pack in enumerate(packers)}
+    runs |= {f"repr {k}": repr(pack(secret)) for k, pack in enumerate(packers)}
+    runs |= {f"escapes {k}": "".join(f"\\u{c:04x}" for c in pack(secret)) for k, pack in enumerate(packers)}
+    runs |= {f"wrapped {n}": wrap(b64(noise[:200] + secret + noise[:500]), n) for n in (64, 76)}
+    runs |= {f"wrapped gzip {n}": wrap(b64(gzip.compress(random.Random(1).randbytes(300) + b" " + secret)), n) for n in (64, 76)}
+    runs |= {f"behind {k}": "p/x-"[:k] + b64(b"see " + secret) for k in range(1, 5)}
+    runs |= {"latin-1": b64("caf\u00e9 ".encode("latin-1") + secret), "behind bytes": b64(b"head" + gzip.compress(secret))}
+    for name, run in runs.items():
+        text = f"see:\n{run}\nend."
+        spans = secret_scan.scan(text)[1]
+        assert any(k == 0 and 5 <= a and b <= 5 + len(run) for a, k, b in spans), name
+    assert secret_scan.scan("x" + b64(random.Random(2).randbytes(5000)))[1] == []
+    limit = secret_scan.MAX_UNPACKED
+    data, cut = secret_scan.unpack(gzip.compress(bytes(limit - 5)) + gzip.compress(bytes(9)))
+    assert len(data) == limit and cut  # the second member is cut, and said so
+
+
 def test_exact_dedup(docs):
     groups = {}
     for i, t, _ in texts(docs):
