@@ -79,12 +79,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 4, 0).when(all_differ, 0).otherwise(covered).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """One row per document: the base measures, what the line rules found, and the verdict."""
+def _measured(docs: DataFrame, cleaned: bool) -> DataFrame:
     parts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
     lines = F.transform(F.split("t", "\n"), lambda line: F.struct(line.alias("line"), words_of(line).alias("words")))
-    parts = parts.select("doc_id", "t", F.filter(lines, lambda x: F.size(x["words"]) > 0).alias("lines"))
-    parts = parts.select("doc_id", "t", "lines", F.flatten(F.col("lines")["words"]).alias("words"))
+    parts = parts.select("doc_id", "t", lines.alias("all_lines"))
+    parts = parts.select("doc_id", "t", "all_lines", F.filter("all_lines", lambda x: F.size(x["words"]) > 0).alias("lines"), F.flatten(F.col("all_lines")["words"]).alias("words"))
     judged = parts.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -92,17 +91,23 @@ def measure(docs: DataFrame) -> DataFrame:
         F.char_length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct(F.col("lines")["line"]))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(F.char_length(F.array_join(x["words"], "")).alias("chars"), line_failures(x["words"], x["line"]).alias("rule"))).alias("verdicts"),
+        F.transform("all_lines", lambda x: F.struct(x["line"].alias("line"), F.char_length(F.array_join(x["words"], "")).alias("chars"), line_failures(x["words"], x["line"]).alias("rule"))).alias("verdicts"),
     )
-    kept_chars = F.aggregate(F.filter("verdicts", lambda v: v["rule"].isNull()), F.lit(0).cast("long"), lambda a, v: a + v["chars"])
-    out = judged.withColumn("kept_chars", kept_chars).withColumn("n_failed_lines", F.size(F.filter("verdicts", lambda v: v["rule"].isNotNull())).cast("long"))
+    stays = F.filter("verdicts", lambda v: v["rule"].isNull())
+    out = judged.withColumn("kept_chars", F.aggregate(stays, F.lit(0).cast("long"), lambda a, v: a + v["chars"]))
+    out = out.withColumn("n_failed_lines", F.size(F.filter("verdicts", lambda v: v["rule"].isNotNull())).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= MIN_KEPT_SHARE * F.col("word_chars"))).drop("verdicts")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= MIN_KEPT_SHARE * F.col("word_chars")))
+    if cleaned:
+        out = out.withColumn("cleaned", F.array_join(F.transform(stays, lambda v: v["line"]), "\n"))
+    # generated rows are worked out once: a caller's filter on them is not rewritten into the expressions above
+    out = out.drop("verdicts")
+    return out.select(F.explode(F.array(F.struct(*out.columns))).alias("row")).select("row.*")
 
 
-def cleaned_text(text: Column) -> Column:
-    """The text without the lines that fail a rule."""
-    return F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line_failures(words_of(line), line).isNull()), "\n")
+def measure(docs: DataFrame) -> DataFrame:
+    """One row per document: the base measures, what the line rules found, and the verdict."""
+    return _measured(docs, cleaned=False)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
@@ -112,6 +117,5 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     carried = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)]).alias("doc_id"), "text")
-    kept = measure(carried).where("kept").select("doc_id.*")
-    out = kept.toDF(*docs.columns)
-    return out.withColumn("text", cleaned_text(F.col("text")))
+    kept = _measured(carried, cleaned=True).where("kept")
+    return kept.select(*[(F.col("cleaned") if c == "text" else F.col("doc_id")[n]).alias(c) for c, n in zip(docs.columns, names)])
