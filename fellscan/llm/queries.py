@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellscan.llm import cotraining, exact_dedup, license_scan, mixing, ngram_join, piece_dropout, quality_rules, secret_scan, token_count, token_store
+from fellscan.llm import binary_packing, cotraining, exact_dedup, license_scan, mixing, ngram_join, piece_dropout, quality_rules, secret_scan, token_count, token_store
 from fellscan.llm.common import LOWER, UPPER, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@_register
+def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "packed")
+    binary_packing.write_sequences(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"))
+    return binary_packing.described(binary_packing.read_sequences(spark, folder))
+
+
 def _text(sql: str) -> str:
     return "'" + sql.replace("'", "''") + "'"
 

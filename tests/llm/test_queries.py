@@ -23,7 +23,7 @@ def test_sql(spark, name):
 
 def test_every_query_is_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(QUERIES) | {"pipeline"} <= set(names)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 12)} and set(QUERIES) | {"pipeline"} <= set(names)
 
 
 def test_pipeline(spark):
