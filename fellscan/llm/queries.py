@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fellscan.llm import binary_packing, cotraining, exact_dedup, license_scan, mixing, ngram_join, piece_dropout, quality_rules, secret_scan, token_count, token_store
+from fellscan.llm import binary_packing, cotraining, cover_tree, exact_dedup, license_scan, mixing, ngram_join, piece_dropout, quality_rules, secret_scan, stratified_search, token_count, token_store
 from fellscan.llm.common import LOWER, UPPER, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,18 @@ def op11_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.described(binary_packing.read_sequences(spark, folder))
 
 
+@_register
+def op12_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stratified_search.build(table(spark, sf_dir, "documents"))
+    return stratified_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(cover_tree.usable(table(spark, sf_dir, "embeddings"), label=shifted), F.col("id") % 100 == 0)
+
+
 def _text(sql: str) -> str:
     return "'" + sql.replace("'", "''") + "'"
 
@@ -159,3 +171,26 @@ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.
 e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
 SELECT n.doc_id, n.n AS n_shingles, m.b AS component_id FROM n JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = n.doc_id"""
+
+
+_TERMS = "regexp_extract_all(" + _LOW + ", '" + stratified_search.TERM + "')"
+ORACLES["op12_stratified_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+g AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, g GROUP BY t),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+      FROM i JOIN f USING (t) JOIN w USING (t), g GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50"""
+
+ORACLES["op13_cover_tree"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 5"""
