@@ -91,6 +91,21 @@ class _Piece:
         )
 
 
+def _counted(docs: DataFrame, with_text: bool) -> DataFrame:
+    """doc_id, text and the number n of terms of documents that have one, or n alone."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            n = np.array([len(terms_of(t)) if t else 0 for t in texts.to_pylist()], np.int64)
+            some = pa.array(n > 0)
+            columns = {"doc_id": batch.column("doc_id"), "text": texts} if with_text else {}
+            yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(n)}).filter(some)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text string, n bigint" if with_text else "n bigint")
+
+
 class Index:
     """The table of postings with the number of documents and of words."""
 
@@ -101,8 +116,8 @@ class Index:
 def build(docs: DataFrame, piece_terms: int = PIECE_TERMS) -> Index:
     """Index every document of (doc_id, text); written to the shared folder."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    lengths = landed(rows.groupBy("n").agg(F.count("*").alias("docs")), "search-lengths")
+    rows = _counted(docs, with_text=True)
+    lengths = landed(_counted(docs, with_text=False).groupBy("n").agg(F.count("*").alias("docs")), "search-lengths")
     n_docs, n_terms = lengths.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))).first()
     m = F.expr(f"50 + (50 * n * {n_docs}L) div {max(n_terms, 1)}L").alias("m")
     strata = lengths.select(m, (F.col("n") * F.col("docs")).alias("terms")).groupBy("m").agg(F.ceil(F.sum("terms") / piece_terms).alias("shares"))
