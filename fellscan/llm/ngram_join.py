@@ -296,10 +296,12 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = landed(describe(rows, words, percent), "join-sets")
-    classes = landed(described.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("sigs").alias("sigs")), "join-classes")
-    sigs = classes.select(F.explode("sigs").alias("sig"), "rep")
-    shared = sigs.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("sig", "pivot")
-    stars = landed(sigs.join(shared, "sig").where("rep > pivot").select("rep", "pivot").distinct(), "join-stars")
+    classes = landed(described.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "join-classes")
+    # signatures are read where they were written; only ids and what two classes share is shuffled a second time
+    firsts = classes.select(F.col("rep").alias("doc_id"), "set_id")
+    sigs = beside(described.select("doc_id", "set_id", "sigs"), firsts, firsts.count(), ["doc_id", "set_id"]).select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"))
+    shared = landed(sigs.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("sig", "pivot"), "join-shared")
+    stars = landed(beside(sigs, shared, shared.count(), ["sig"], limit=2 * BROADCAST_ROWS).where("rep > pivot").select("rep", "pivot").distinct(), "join-stars")
     blocks = components(stars, "pivot", "rep").select(F.col("node").alias("rep"), F.col("root").alias("block"))
     blocks = blocks.join(classes.select("rep", "n"), "rep")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).alias("p"))
