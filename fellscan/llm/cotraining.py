@@ -49,9 +49,12 @@ class _Places(dict):
     """word -> its place among shapes and its place among words, in one number."""
 
     def __missing__(self, word: str) -> int:
-        shape = word
-        for pattern, by in _FOLDS:
-            shape = pattern.sub(by, shape)
+        if word.isalpha():
+            shape = "a" if word.islower() else "A" if word.isupper() else "".join(dict.fromkeys("A" if c.isupper() else "a" for c in word))
+        else:
+            shape = word
+            for pattern, by in _FOLDS:
+                shape = pattern.sub(by, shape)
         value = self[word] = zlib.crc32(shape.encode()) % SHAPES << 16 | zlib.crc32(word.lower().encode()) % WORDS
         return value
 
@@ -59,10 +62,11 @@ class _Places(dict):
 _places = _Places()
 
 
-def _damped(places: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+def _damped(places: np.ndarray, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Different places and their damped counts, brought to length 1."""
-    at, n = np.unique(places, return_counts=True)
-    value = 1.0 + np.log(n)
+    n = np.bincount(places, minlength=size)
+    at = np.flatnonzero(n)
+    value = 1.0 + np.log(n[at])
     return at + first, value / math.sqrt(float(value @ value))
 
 
@@ -73,7 +77,7 @@ def text_view(text: str) -> tuple[np.ndarray, np.ndarray]:
     both = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
     word, n = both & 0xFFFF, max(len(words), 1)
     rest = np.array([len(set(words)) / n, len(text) / n / 10, math.log1p(len(text)) / 10])
-    parts = [_damped(both >> 16, 0), _damped(word, SHAPES), _damped((word[:-1] * 31 + word[1:] * 17) % PAIRS, SHAPES + WORDS)] if words else []
+    parts = [_damped(both >> 16, 0, SHAPES), _damped(word, SHAPES, WORDS), _damped((word[:-1] * 31 + word[1:] * 17) % PAIRS, SHAPES + WORDS, PAIRS)] if words else []
     parts = [p for p in parts if len(p[0])] + [(np.arange(TEXT_PLACES - 3, TEXT_PLACES), rest)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
