@@ -7,6 +7,7 @@ map side, so one region holding a large share of the cells never gathers in one
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from fellscan.operators.blocks import BLOCK, BLOCK_KEYS, KEYS, tiled
 from fellscan.operators.components import join_parts, label_grid
 from fellscan.operators.focal import with_neighbour_flags
+from fellscan.session import cut_lineage
 
 REGION = ["survey_id", "region_id"]
 
@@ -131,11 +133,16 @@ def topology(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int =
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
-    pts = np.unique(points, axis=0)
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    pts = points[order]
+    pts = pts[np.r_[True, (pts[1:] != pts[:-1]).any(axis=1)]]
     if len(pts) < 3:
         return pts
+    # of points in one column only the first and last may be corners of the hull
+    ends = np.r_[True, pts[1:, 0] != pts[:-1, 0]]
+    pts = pts[ends | np.r_[ends[1:], True]]
 
-    def half(seq: np.ndarray) -> list:
+    def half(seq: list) -> list:
         chain: list = []
         for p in seq:
             while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
@@ -143,6 +150,7 @@ def _hull(points: np.ndarray) -> np.ndarray:
             chain.append(p)
         return chain[:-1]
 
+    pts = pts.tolist()
     return np.array(half(pts) + half(pts[::-1]))
 
 
@@ -162,11 +170,44 @@ def min_rectangle(points: np.ndarray) -> tuple[float, float]:
     return round(float(length[best]), 9), round(float(width[best]), 9)  # whole-number ratios compare exactly
 
 
-def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = BLOCK) -> DataFrame:
+def per_region(rows: DataFrame, order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the rows of each region, many regions a call: a task streams its regions in order and holds one of them
+    beside a batch of rows, so small regions cost no call of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            s, r = pdf["survey_id"].to_numpy(), pdf["region_id"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
+            pieces = [pdf.iloc[a:b] for a, b in zip(starts, [*starts[1:], len(pdf)])]
+            if held and tuple(held[0].iloc[0][REGION]) == (s[0], r[0]):
+                held.append(pieces.pop(0))
+            if pieces:
+                whole = ([pd.concat(held)] if held else []) + pieces[:-1]
+                held = [pieces[-1]]
+                if whole:
+                    yield pd.concat([work(p) for p in whole])
+        if held:
+            yield work(pd.concat(held))
+
+    return rows.repartition(*REGION).sortWithinPartitions(*REGION, *order).mapInPandas(run, schema)
+
+
+def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block: int = BLOCK, only: Column | None = None) -> DataFrame:
     """Area, length and width of the minimum rotated rectangle, aspect, rectangularity, circularity and holes.
 
     Only the first and last cell of each grid line can carry a hull corner, so that is all the per-region step gets.
+    ``only`` is a condition on what native aggregates know of a region (cells, outline_m, holes, and ``diagonal_m`` of its
+    bounding box, which no rectangle is longer than); regions outside it get no rectangle and no row.
     """
+    facts = topology(labelled, dx, dy, block)
+    if only is not None:
+        span = lambda c, step: (F.max(c) - F.min(c) + 1) * step
+        box = labelled.groupBy(*REGION).agg(F.hypot(span("row", dy), span("col", dx)).alias("diagonal_m"))
+        facts = cut_lineage(facts.join(box, REGION).where(only).drop("diagonal_m"))
+        labelled = labelled.join(facts.select(*REGION), REGION, "left_semi")
     lines = labelled.groupBy(*REGION, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
 
     def rectangle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,11 +217,9 @@ def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block:
         return pd.DataFrame({"survey_id": [pdf["survey_id"].iloc[0]], "region_id": [pdf["region_id"].iloc[0]], "length_m": [length], "width_m": [width]})
 
     types = {f.name: f.dataType.simpleString() for f in labelled.schema}
-    boxes = lines.groupBy(*REGION).applyInPandas(
-        rectangle, f"survey_id {types['survey_id']}, region_id {types['region_id']}, length_m double, width_m double"
-    )
+    boxes = per_region(lines, ["row"], rectangle, f"survey_id {types['survey_id']}, region_id {types['region_id']}, length_m double, width_m double")
     area = F.col("cells") * (dx * dy)
-    return topology(labelled, dx, dy, block).join(boxes, REGION).select(
+    return facts.join(boxes, REGION).select(
         *REGION, "cells", area.cast("double").alias("area_m2"), "length_m", "width_m", "outline_m", "holes",
         (F.col("length_m") / F.greatest("width_m", F.lit(1e-9))).alias("aspect_ratio"),
         (area / F.greatest(F.col("length_m") * F.col("width_m"), F.lit(1e-9))).alias("rectangularity"),
@@ -208,7 +247,7 @@ def interiors(labelled: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in labelled.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in (*REGION, "row", "col"))
-    return labelled.select(*REGION, "row", "col").groupBy(*REGION).applyInPandas(enclosed, schema)
+    return per_region(labelled.select(*REGION, "row", "col"), [], enclosed, schema)
 
 
 def representative_cell(labelled: DataFrame) -> DataFrame:

@@ -54,6 +54,12 @@ def cluster(cands: DataFrame, eps: float = 10.0, coords: str = "lonlat", scope:
     return eps_clusters(placed, eps, "_mx", "_my", id_col, scope, **knobs).drop("_mx", "_my", "_lat0")
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean by a decimal sum, so that it is the same in any order; what no decimal(28, 12) holds is left out."""
+    exact = value.try_cast("decimal(28,12)")
+    return F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))
+
+
 def merge_clusters(cands: DataFrame, weights: dict[str, float], bonus: float = 1.2, scope: str | None = None, id_col: str = "cand_id",
                    coords: str = "lonlat") -> DataFrame:
     """One row per cluster: weighted confidence with agreement bonus, voted type, mean place, mean measures, largest outline.
@@ -68,11 +74,11 @@ def merge_clusters(cands: DataFrame, weights: dict[str, float], bonus: float = 1
     w = cands.withColumn("_w", weight_of(weights))
     base = w.groupBy(*key).agg(  # decimal sums are the same in any order
         F.sum((F.col("_w") * F.col("score")).cast("decimal(28,12)")).cast("double").alias("_ws"), F.sum(F.col("_w").cast("decimal(28,12)")).cast("double").alias("_sw"), F.sort_array(F.collect_set("pass_name")).alias("source_passes"),
-        F.count("*").alias("members"), F.avg(px).alias(px), F.avg(py).alias(py),
+        F.count("*").alias("members"), exact_mean(F.col(px)).alias(px), exact_mean(F.col(py)).alias(py),
         F.min(F.struct(*([(~F.col("has_outline")).alias("n")] if "has_outline" in cands.columns else []), (-F.coalesce("area_m2", F.lit(0.0))).alias("a"), F.col(id_col).alias("id"))).alias("_o"))
     votes = w.groupBy(*key, "feature_type").agg(F.round(F.sum(F.col("_w") * F.col("score")), 9).alias("v"))
     kind = votes.groupBy(*key).agg(F.min(F.struct((-F.col("v")).alias("v"), type_order(F.col("feature_type")).alias("o"), "feature_type")).alias("_t"))
-    means = cands.select(*key, F.explode("morphometrics").alias("k", "v")).groupBy(*key, "k").agg(F.avg("v").alias("v"))
+    means = cands.select(*key, F.explode("morphometrics").alias("k", "v")).groupBy(*key, "k").agg(exact_mean(F.col("v")).alias("v"))
     maps = means.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("morphometrics"))
     raw = F.when(F.col("_sw") > 0, F.col("_ws") / F.col("_sw")).otherwise(F.lit(0.0))
     n = F.size("source_passes")

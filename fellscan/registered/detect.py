@@ -246,8 +246,12 @@ def _c8(spark, sf):
 
 WEIGHTS = PRESETS["sinkhole_survey"].weights
 W_SQL = "CASE pass_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 1.0 END"
-MERGE = f"""b AS (SELECT cluster_id, CAST(sum(CAST({W_SQL} * score AS DECIMAL(28,12))) AS DOUBLE) AS ws, CAST(sum(CAST({W_SQL} AS DECIMAL(28,12))) AS DOUBLE) AS sw, count(DISTINCT pass_name) AS np, count(*) AS members, avg(px0) AS ax, avg(py0) AS ay,
-      avg(depth_m) AS depth_m, avg(area_m2) AS area_m2, avg(circularity) AS circularity, avg(elongation) AS elongation, string_agg(DISTINCT pass_name, ',' ORDER BY pass_name) AS passes FROM cl GROUP BY 1),
+def exact(column: str) -> str:
+    return f"CAST(sum(CAST({column} AS DECIMAL(28,12))) AS DOUBLE) / count({column})"
+
+
+MERGE = f"""b AS (SELECT cluster_id, CAST(sum(CAST({W_SQL} * score AS DECIMAL(28,12))) AS DOUBLE) AS ws, CAST(sum(CAST({W_SQL} AS DECIMAL(28,12))) AS DOUBLE) AS sw, count(DISTINCT pass_name) AS np, count(*) AS members, {exact('px0')} AS ax, {exact('py0')} AS ay,
+      {exact('depth_m')} AS depth_m, {exact('area_m2')} AS area_m2, {exact('circularity')} AS circularity, {exact('elongation')} AS elongation, string_agg(DISTINCT pass_name, ',' ORDER BY pass_name) AS passes FROM cl GROUP BY 1),
     vt AS (SELECT cluster_id, feature_type, round(sum({W_SQL} * score), 9) AS v, CASE feature_type WHEN 'sinkhole' THEN 1 WHEN 'cave_entrance' THEN 2 ELSE 4 END AS o FROM cl GROUP BY 1, 2),
     tp AS (SELECT cluster_id, feature_type FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY v DESC, o) AS k FROM vt) q WHERE k = 1),
     ol AS (SELECT cluster_id, cand_id AS outline_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY area_m2 DESC, cand_id) AS k FROM cl) q WHERE k = 1),
