@@ -148,11 +148,12 @@ def cap_per_tile(df: DataFrame, n: int = 200, tile: str = "tile_id", score: str
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def post_fuse_chain(cands: DataFrame, filters: list[Callable[[DataFrame], DataFrame]] | None = None, cap: int = 200, tile: str = "tile_id",
+def post_fuse_chain(cands: DataFrame, filters: list[Callable[[DataFrame], DataFrame]] | None = None, cap: int | None = None, tile: str = "tile_id",
                     key: str = "cand_id", **gate) -> DataFrame:
-    """Gate, then each injected filter in order, then the per-tile cap last. Experimental candidates skip all but the cap."""
+    """Gate, then each injected filter in order, then the per-tile cap last (None: all stay). Experimental candidates skip all but the cap."""
     flag = F.coalesce(F.col("experimental"), F.lit(False)) if "experimental" in cands.columns else F.lit(False)
     plain = post_fuse_gate(cands.where(~flag), **gate)
     for step in filters or []:
         plain = plain.transform(step)
-    return cap_per_tile(plain.unionByName(cands.where(flag)), cap, tile, key=key)
+    out = plain.unionByName(cands.where(flag))
+    return out if cap is None else cap_per_tile(out, cap, tile, key=key)

@@ -434,7 +434,7 @@ def _f5(spark, sf):
 def _f6(spark, sf):
     f = fixture(spark, sf, "footprints").select("id", "kind", *[F.col(c).cast("double").alias(c) for c in ("west", "south", "east", "north")])
     step = lambda d: filters.exclude_buildings(d, f.where("kind = 'building'"), f.where("kind = 'cemetery'"))
-    return filters.post_fuse_chain(cand(spark, sf), [step]).select("cand_id", "tile_id")
+    return filters.post_fuse_chain(cand(spark, sf), [step], cap=200).select("cand_id", "tile_id")
 
 
 @register("t2_cap_per_tile", f"""WITH {CAND} SELECT cand_id, tile_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY score DESC, cand_id) AS k FROM cand) q WHERE k <= 200""")

@@ -291,29 +291,37 @@ def _d16(spark, sf):
 
 # ---- whole jobs ----------------------------------------------------------------------------------------------------
 
-def preset_surface(spark, sf):
-    s = fixture(spark, sf, "dem").withColumn("z", F.col("z") / 50.0)
-    return survey.add_derivatives(s, kernels=(5, 9), svf_radius=3.0, block=BLOCK)
+def scan(spark, sf):
+    """The line items as points of two surveys, heights scaled to tens of metres."""
+    return point_cloud(fixture(spark, sf, "points").withColumn("z", F.col("z") / 100))
+
+
+def scan_terrain(spark, sf):
+    return survey.build_terrain(scan(spark, sf), res=4.0, radius=8.0, pre_classified=True, kernels=(7,), svf_radius=12.0, block=BLOCK)
+
+
+def around(spark, sf):
+    """What lies around the scan: two neighbouring UTM surveys, footprints of parts brought to them, roads of suppliers."""
+    surveys = spark.createDataFrame([("p0", 32617), ("p1", 32617)], "survey_id string, epsg int")
+    foot = fixture(spark, sf, "footprints")
+    west, south = -85.4888, 0.0005  # eastings and northings below 500 m lie here
+    moved = foot.select("id", "kind", *[(F.lit(west) + (F.col(c) + 80.025) / 100).alias(c) for c in ("west", "east")], *[(F.lit(south) + (F.col(c) - 39.975) / 100).alias(c) for c in ("south", "north")])
+    return survey.Context(surveys, moved.where("kind = 'building'").drop("kind"), moved.where("kind = 'cemetery'").drop("kind"), fixture(spark, sf, "segments"))
 
 
 @register("f8_build_terrain")
 def _f8(spark, sf):
-    pts = point_cloud(fixture(spark, sf, "points").withColumn("z", F.col("z") / 100))
-    dem = pointgrid.grid_mean(pts.where("classification = 2"), 10.0, 15.0)
-    out = survey.add_derivatives(dem, 10.0, (3,), 30.0, BLOCK)
-    return out.select("survey_id", "row", "col", *[rnd(c, 5).alias(c) for c in ("z", "fill_diff", "lrm_3", "slope", "tpi")])
+    return scan_terrain(spark, sf).select("survey_id", "row", "col", *[rnd(c, 5).alias(c) for c in ("z", "fill_diff", "lrm_7", "svf", "slope", "tpi")])
 
 
 @register("f7_run_preset")
 def _f7(spark, sf):
-    out = survey.run_preset(preset_surface(spark, sf), None, "aggressive_cave", block=BLOCK, eps=2.0)
-    return out.select("survey_id", "cand_id", rnd("score").alias("score"), "feature_type", F.concat_ws(",", "source_passes").alias("passes"))
+    out = survey.run_preset(scan_terrain(spark, sf), scan(spark, sf), "sinkhole_survey", res=4.0, block=BLOCK)
+    return out.select("survey_id", "cand_id", rnd("x", 3).alias("x"), rnd("y", 3).alias("y"), rnd("score").alias("score"), "feature_type", F.concat_ws(",", "source_passes").alias("passes"))
 
 
 @register("f9_survey_to_detections")
 def _f9(spark, sf):
-    pts = fixture(spark, sf, "points")
-    out = survey.survey_to_detections(pts, "aggressive_cave", res=1.0, block=BLOCK, terrain=preset_surface(spark, sf))
-    return out.select("tile_id", "cand_id", rnd("score").alias("score"), "feature_type")
-
-
+    out = survey.survey_to_detections(scan(spark, sf), "sinkhole_survey", res=4.0, block=BLOCK, terrain=scan_terrain(spark, sf), context=around(spark, sf))
+    rows = survey.stored_rows(out)
+    return rows.select("tile_id", "cand_id", rnd("lon", 7).alias("lon"), rnd("lat", 7).alias("lat"), rnd("confidence").alias("confidence"), "feature_type", rnd("depth_m").alias("depth_m"), rnd("area_m2").alias("area_m2"), F.concat_ws(",", "source_passes").alias("passes"))
