@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ SHAPES, WORDS, PAIRS, META_PLACES, KEEP_FROM = 512, 4096, 4096, 64, 0.5
 TEXT_PLACES = SHAPES + WORDS + PAIRS + 3
 VIEWS = {"text": TEXT_PLACES, "meta": META_PLACES}
 #: Words whose places a worker remembers; speed only.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 _FOLDS = ((re.compile(r"[^\W\d_]+"), lambda m: "".join(dict.fromkeys("A" if c.isupper() else "a" for c in m[0]))), (re.compile(r"\d+"), "0"))
 
 
@@ -49,16 +50,22 @@ class _Places(dict):
     """word -> its place among shapes and its place among words, in one number."""
 
     def __missing__(self, word: str) -> int:
-        if word.isalpha():
-            shape = "a" if word.islower() else "A" if word.isupper() else "".join(dict.fromkeys("A" if c.isupper() else "a" for c in word))
+        body, sign = (word[:-1], word[-1]) if word and not word[-1].isalnum() else (word, "")
+        if body.isalpha() and body.islower():
+            shape = "a" + sign
+        elif body.isalpha() and body.istitle():
+            shape = "Aa"[: min(len(body), 2)] + sign
         else:
             shape = word
             for pattern, by in _FOLDS:
                 shape = pattern.sub(by, shape)
-        value = self[word] = zlib.crc32(shape.encode()) % SHAPES << 16 | zlib.crc32(word.lower().encode()) % WORDS
+        if (at := _shapes.get(shape)) is None:
+            at = _shapes[shape] = zlib.crc32(shape.encode()) % SHAPES << 16
+        value = self[word] = at | zlib.crc32((word if word.islower() else word.lower()).encode()) % WORDS
         return value
 
 
+_shapes: dict[str, int] = {}
 _places = _Places()
 
 
@@ -73,6 +80,7 @@ def _damped(places: np.ndarray, first: int, size: int) -> tuple[np.ndarray, np.n
 def text_view(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(_places) > REMEMBERED:
         _places.clear()
+        _shapes.clear()
     words = text.split()
     both = np.fromiter(map(_places.__getitem__, words), np.int64, len(words))
     word, n = both & 0xFFFF, max(len(words), 1)
@@ -83,7 +91,12 @@ def text_view(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meta_view(source: str, lang: str, n_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    at = [zlib.crc32(x.encode()) % META_PLACES for x in ("s" + source, "l" + lang, f"c{(n_chars + 1).bit_length()}")]
+    return _meta_places(source, lang, (n_chars + 1).bit_length())
+
+
+@lru_cache(maxsize=10_000)
+def _meta_places(source: str, lang: str, length_class: int) -> tuple[np.ndarray, np.ndarray]:
+    at = [zlib.crc32(x.encode()) % META_PLACES for x in ("s" + source, "l" + lang, f"c{length_class}")]
     at, n = np.unique(at, return_counts=True)
     return at, n.astype(float)
 
