@@ -43,7 +43,7 @@ from fellscan.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 CLASS_RATIO, SPARE = 1.4, 2
-BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, HEAP_POSTINGS = 2_000, 3_000_000, 4, 512
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, HEAP_POSTINGS = 8_000, 6_000_000, 4, 512
 REMEMBERED = 300_000
 _SPACE, _LOWER = re.compile("[\x20\x09-\x0d]+"), str.maketrans(UPPER, LOWER)
 #: What str.split() takes for blank beyond the contract's separators.
