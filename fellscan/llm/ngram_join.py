@@ -7,8 +7,12 @@
    documents share a hash of (size class, segment, its content). Set sizes fall into classes in ratio CLASS_RATIO; a
    document also gives the segments of the class below while a smaller partner can lie there. Empty segments would be
    shared by strangers: with SPARE segments more, linked sets agree in one that is not empty, unless both have more than
-   SPARE empty ones, and only such sets give theirs. Components of documents that share a segment are the blocks;
-   documents alone in theirs have no partner and end here.
+   SPARE empty ones, and only such sets give theirs. Passages that many documents share make strangers agree in a segment
+   too, so pairs are tested first: a set's parity bits (bit h mod width flipped by every hash h) differ from another's in
+   no more places than the sets do, which bounds the overlap from above. Every document is tested against the first one of
+   each of its segments; where a segment's documents are then still apart, they are tested among each other (segments of
+   the same documents once, crowded ones in pairs of parts). Components of pairs that pass are the blocks; documents
+   alone in theirs have no partner and end here.
 3. In a block, T-occurrence search: inverted lists from shingle to documents; a query's lists are divided into the L
    longest and the rest; the short ones are merged with a heap that skips ahead by binary search (by one sort of arrays
    where they hold over HEAP_POSTINGS entries), and documents met T - L times are probed for in the long ones by binary
@@ -21,7 +25,7 @@
 Shingles are equal when their 64-bit hashes are: for n documents of s shingles a false link needs many collisions at once,
 a wrong set size one, of chance below n * s^2 / 2^65. Null or wordless text: no shingles, linked with nothing. With fewer
 words than a shingle has, the whole sequence is one. Null doc_ids take part in classes only, and name no component.
-Repeated rows are members of one class. Empty tables give empty results.
+Repeated rows are members of one class; rows of one doc_id with different texts are one document with the links of all. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,6 +48,12 @@ from fellscan.llm.graph import components
 WORDS, PERCENT = 3, 90
 CLASS_RATIO, SPARE = 1.4, 2
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, HEAP_POSTINGS = 2_000, 3_000_000, 4, 512
+#: Parity bits a shingle, and bounds of a set's width (powers of two).
+BITS_EACH, BITS_LEAST, BITS_MOST = 8, 256, 65_536
+#: Documents of a segment that are tested in one part, and rows of many segments that one call tests.
+SEGMENT_DOCS, TEST_ROWS = 4_096, 20_000
+#: DivideSkip's share of long lists: L = T / (MU * log M + 1), M the longest list.
+MU = 0.0085
 REMEMBERED = 300_000
 _SPACE, _LOWER = re.compile("[\x20\x09-\x0d]+"), str.maketrans(UPPER, LOWER)
 #: What str.split() takes for blank beyond the contract's separators.
@@ -124,6 +134,42 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         i -= 1
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity bits of a set: sets that differ in d members differ in d bits at most."""
+    width = min(max(1 << (BITS_EACH * len(s) - 1).bit_length(), BITS_LEAST), BITS_MOST) if len(s) else BITS_LEAST
+    at = (_mix(s ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The parity bits at a smaller width: places meet again modulo the width."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def may_link(n: np.ndarray, bits: list[bytes], comp: list, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect, with the components known, what any pairs that the parity bits allow connect."""
+    order = np.lexsort((np.arange(len(n)), n))
+    n, size = n[order], min(map(len, bits))
+    rows = np.stack([_folded(bits[i], size) for i in order])
+    roots, side = np.unique(np.array([comp[i] for i in order]), return_inverse=True)[1], None if side is None else side[order]
+    links = []
+    for q in range(1, len(n)):
+        first = int(np.searchsorted(n, -(-n[q] * percent // 100)))
+        open_ = roots[first:q] != roots[q]
+        if side is not None:
+            open_ &= side[first:q] != side[q]
+        near = first + np.flatnonzero(open_)
+        if not len(near):
+            continue
+        both = n[near] + n[q]
+        apart = np.bitwise_count(rows[near] ^ rows[q]).sum(axis=1, dtype=np.int64)
+        for j in near[(both - apart) // 2 >= -(-percent * both // (100 + percent))].tolist():
+            if roots[j] != roots[q]:
+                links.append((int(order[j]), int(order[q])))
+                roots[roots == roots[j]] = roots[q]
+    return links
+
+
 def _needed(a: int, b: int, percent: int) -> int:
     """Least intersection of linked sets of these sizes."""
     return -(-percent * (a + b) // (100 + percent))
@@ -230,13 +276,14 @@ def search(sets: list[np.ndarray], percent: int = PERCENT, known: list[int] | No
         if len(lists) < need:
             continue
         lists.sort(key=len)
-        n_long = need - 1  # each of the others may then hold a partner that the long ones only confirm
+        n_long = min(need - 1, int(need / (MU * math.log(len(lists[-1])) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :][::-1]
         if sum(map(len, short)) <= HEAP_POSTINGS:
             met = merge_short(short, need - n_long)
             found, count = np.array([c for c, _ in met], np.int64), np.array([k for _, k in met], np.int64)
         else:  # the same merge, as one sort of arrays
             found, count = np.unique(np.concatenate(short), return_counts=True)
+            found, count = found[count >= need - n_long], count[count >= need - n_long]
         must = -(-percent * (sizes[q] + sizes[found]) // (100 + percent))
         for left, x in zip(range(len(long_) - 1, -1, -1), long_):  # binary search of all that may still reach their overlap
             at = np.minimum(np.searchsorted(x, found), len(x) - 1)
@@ -253,20 +300,64 @@ def search(sets: list[np.ndarray], percent: int = PERCENT, known: list[int] | No
 
 
 def describe(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes of hash of the whole set) and the block signatures of each document."""
+    """doc_id, n_shingles, set_id (16 bytes of hash of the whole set), block signatures and parity bits of each document."""
 
     def make(batches):
         for pdf in batches:
-            ns, ids, sigs = [], [], []
+            ns, ids, sigs, bits = [], [], [], []
             for text in pdf["text"]:
                 s = shingles(text, words)
                 ns.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signatures(s, percent))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": ns, "set_id": ids, "sigs": sigs})
+                bits.append(parity(s) if len(s) else None)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": ns, "set_id": ids, "sigs": sigs, "bits": bits})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {kind}, n_shingles bigint, set_id binary, sigs array<bigint>")
+    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {kind}, n_shingles bigint, set_id binary, sigs array<bigint>, bits binary")
+
+
+def _tested_stars(stars: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those of (rep, pivot) whose parity bits allow a link."""
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for n, bits, m, other in zip(pdf["n"], pdf["bits"], pdf["p_n"], pdf["p_bits"]):
+                size = min(len(bits), len(other))
+                apart = int(np.bitwise_count(_folded(bits, size) ^ _folded(other, size)).sum(dtype=np.int64))
+                keep.append((n + m - apart) // 2 >= _needed(n, m, percent))
+            yield pdf.loc[keep, ["rep", "pivot"]]
+
+    # sizes alone bound the overlap as well
+    pairs = stars.join(marks, "rep").join(marks.select(F.col("rep").alias("pivot"), F.col("n").alias("p_n"), F.col("bits").alias("p_bits")), "pivot")
+    pairs = pairs.where(F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
+    return pairs.mapInPandas(run, "rep bigint, pivot bigint")
+
+
+def _tested_segments(members: DataFrame, known: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(rep, pivot) that connect what is still apart among the documents of each segment and may be linked."""
+    comp = F.coalesce("root", "rep").alias("comp")
+    named = members.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", comp)
+    half = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(seed)), 32))
+    same = [F.count(F.lit(1)).alias("m"), F.min("rep").alias("first"), F.max("rep").alias("last"), half(1).alias("x"), half(2).alias("y")]
+    apart = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo < hi")
+    apart = landed(apart.groupBy("m", "first", "last", "x", "y").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / SEGMENT_DOCS).cast("int").alias("parts")), "join-apart")
+    dealt = beside(named, apart, apart.count(), ["sig"], limit=2 * BROADCAST_ROWS).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("sig", "rep", "comp", "part", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"))
+    calls = max(1, -(-dealt.count() // TEST_ROWS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, p1, p2), g in pdf.groupby(["sig", "p1", "p2"], sort=False):
+            if len(g) > 1:
+                ids, side = g["rep"].tolist(), g["part"].to_numpy() if p1 < p2 else None
+                found += [(ids[i], ids[j]) for i, j in may_link(g["n"].to_numpy(), g["bits"].tolist(), g["comp"].tolist(), side, percent)]
+        return pd.DataFrame(found, columns=["rep", "pivot"], dtype="int64")
+
+    call = F.pmod(F.xxhash64("sig", "p1", "p2"), F.lit(calls)).alias("call")
+    return dealt.join(marks, "rep").select(call, "sig", "p1", "p2", "part", "rep", "comp", "n", "bits").groupBy("call").applyInPandas(run, "rep bigint, pivot bigint")
 
 
 def _search_groups(members: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
@@ -276,7 +367,7 @@ def _search_groups(members: DataFrame, keys: list[str], words: int, percent: int
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+        pdf = pdf.drop_duplicates(["doc_id", "text"])
         ids = pdf["doc_id"].tolist()
         side = None if pdf["side"].nunique() < 2 else pdf["side"].to_numpy()
         found = search([shingles(t, words) for t in pdf["text"]], percent, pdf["comp"].tolist(), side) if len(ids) > 1 else []
@@ -286,7 +377,7 @@ def _search_groups(members: DataFrame, keys: list[str], words: int, percent: int
         members: dict[int, list] = {}
         for i in {i for link in found for i in link}:
             members.setdefault(forest.root(i), []).append(ids[i])
-        stars = [(min(m), x) for m in members.values() for x in m if x != min(m)]
+        stars = [(min(m), x) for m in members.values() for x in set(m) if x != min(m)]
         return pd.DataFrame({"a": [a for a, _ in stars], "b": [b for _, b in stars]}, dtype="int64")
 
     return members.groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
@@ -301,9 +392,13 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     firsts = classes.select(F.col("rep").alias("doc_id"), "set_id")
     sigs = beside(described.select("doc_id", "set_id", "sigs"), firsts, firsts.count(), ["doc_id", "set_id"]).select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"))
     shared = landed(sigs.groupBy("sig").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("sig", "pivot"), "join-shared")
-    stars = landed(beside(sigs, shared, shared.count(), ["sig"], limit=2 * BROADCAST_ROWS).where("rep > pivot").select("rep", "pivot").distinct(), "join-stars")
-    blocks = components(stars, "pivot", "rep").select(F.col("node").alias("rep"), F.col("root").alias("block"))
-    blocks = blocks.join(classes.select("rep", "n"), "rep")
+    members = landed(beside(sigs, shared, shared.count(), ["sig"], limit=2 * BROADCAST_ROWS).select("sig", "rep", "pivot"), "join-members")
+    marks = beside(described.select("doc_id", "set_id", F.col("n_shingles").alias("n"), "bits"), firsts, firsts.count(), ["doc_id", "set_id"]).select(F.col("doc_id").alias("rep"), "n", "bits")
+    marks = landed(marks.join(members.select("rep").distinct(), "rep", "left_semi").distinct(), "join-marks")
+    stars = landed(_tested_stars(members.where("rep > pivot").select("rep", "pivot").distinct(), marks, percent), "join-stars")
+    more = landed(_tested_segments(members, components(stars, "pivot", "rep"), marks, percent), "join-tested")
+    blocks = components(stars.unionByName(more), "pivot", "rep").select(F.col("node").alias("rep"), F.col("root").alias("block"))
+    blocks = blocks.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).alias("p"))
     parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES))).cast("int")
     blocks = landed(blocks.join(sizes.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")), "join-blocks")

@@ -380,3 +380,33 @@ def test_cotraining_holds_out(spark):
     none = cotraining.train(docs, labels.limit(0)).score(docs)
     assert none.count() == docs.count() and {r.score for r in none.select("score").distinct().collect()} == {0.5}
     assert cotraining.train(docs, even).score(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_ngram_join_of_shared_passages(spark, monkeypatch, rows):
+    """Strangers that share most of their words, near copies of the threshold's similarity, and an id with two texts."""
+    monkeypatch.setattr(ngram_join, "SEGMENT_DOCS", rows)
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    passage = [rng.choice(vocabulary) for _ in range(90)]
+    docs = []
+    for i in range(150):
+        docs.append((i, " ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randint(8, 60))])))
+    docs += [(500 + i, docs[i][1] + " " + rng.choice(vocabulary)) for i in range(0, 150, 5)]
+    one, other = (" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(2))
+    frame = [*docs, (900, one), (900, other), (901, one + " x"), (902, other + " y")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(spark.createDataFrame(frame, "doc_id long, text string"), 5, 80).collect()}
+    want = plain_components(docs, 5, 80)
+    assert {i: c for i, c in got.items() if i < 900} == {i: c for i, (_, c) in want.items()}
+    assert {got[i] for i in (900, 901, 902)} == {900} and len(set(got.values())) > 50
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (5, 9), (300, 280), (20_000, 19_000), (40, 9000)]:
+        pool = rng.integers(0, 2**63, 2 * (n + m)).astype(np.uint64)
+        a, b = np.unique(rng.choice(pool, n, False)), np.unique(rng.choice(pool, m, False))
+        x, y = ngram_join.parity(a), ngram_join.parity(b)
+        size = min(len(x), len(y))
+        apart = np.bitwise_count(ngram_join._folded(x, size) ^ ngram_join._folded(y, size)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and (ngram_join._folded(x, len(x)).tobytes() == x)
