@@ -1,15 +1,16 @@
 """Depression filling over a whole survey: every cell rises to the lowest level at which it can drain (8 neighbours).
 
-Ground next to a missing cell drains out. Each block is reduced to the spill levels between the cells of its rim (a
-minimum spanning forest, at most one edge per rim cell), the rim graph of all blocks is solved for the lowest barrier
-to the outside, and each block is then flooded once from its rim. Block tasks are bounded by the block; the rim graph
-is contracted by joins and aggregations until it is small enough to finish in one bounded task.
+Ground next to a missing cell drains out. A cell drains along lower cells to a pit, so its level is the larger of its own
+height and its pit's level, and only pits and block rims need a graph. Each block finds its pits and the lowest passes
+between their basins with whole-array steps, and is reduced to the spill levels between the cells of its rim (a minimum
+spanning forest, at most one edge per rim cell). The rim graph of all blocks is solved for the lowest barrier to the
+outside, and each block's pits then take their levels from its rim. Block tasks are bounded by the block; a survey's rim
+graph is contracted by joins and aggregations until it is small enough for one bounded task, surveys beside each other.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,49 +42,76 @@ def _outlets(z: np.ndarray) -> np.ndarray:
     return out
 
 
+def _basins(z: np.ndarray) -> tuple[np.ndarray, int, pd.DataFrame]:
+    """Basin of each unpadded cell (-1 where absent), their number, and the lowest pass ``(u, v, w)`` of basins that touch."""
+    inner = np.zeros_like(z, bool)
+    inner[1:-1, 1:-1] = np.isfinite(z[1:-1, 1:-1])
+    cells = np.flatnonzero(inner)
+    cells = cells[np.argsort(z.ravel()[cells], kind="stable")]
+    rank = np.full(z.size, len(cells))
+    rank[cells] = np.arange(len(cells))  # a strict order, so that flats drain too
+    rank = rank.reshape(z.shape)
+    lowest, n = rank[1:-1, 1:-1].copy(), z.shape[0] - 2
+    for dr, dc in AROUND:
+        np.minimum(lowest, rank[1 + dr:1 + dr + n, 1 + dc:1 + dc + n], out=lowest)
+    down = np.empty(len(cells), np.int64)
+    here = rank[1:-1, 1:-1]
+    down[here[here < len(cells)]] = lowest[here < len(cells)]
+    while not np.array_equal(further := down[down], down):
+        down = further
+    pits, basin_of = np.unique(down, return_inverse=True)
+    basin = np.full(z.size, -1)
+    basin[cells] = basin_of
+    basin = basin.reshape(z.shape)
+    parts = []
+    for dr, dc in [(0, 1), (1, -1), (1, 0), (1, 1)]:
+        there = (slice(1 + dr, 1 + dr + n), slice(1 + dc, 1 + dc + n))
+        u, v, w = basin[1:-1, 1:-1], basin[there], np.maximum(z[1:-1, 1:-1], z[there])
+        touch = (u >= 0) & (v >= 0) & (u != v)
+        parts.append(np.stack([np.minimum(u, v)[touch], np.maximum(u, v)[touch], w[touch]]))
+    u, v, w = np.concatenate(parts, axis=1)
+    order = np.lexsort((w, v, u))
+    u, v, w = u[order].astype(np.int64), v[order].astype(np.int64), w[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return basin, len(pits), pd.DataFrame({"u": u[first], "v": v[first], "w": w[first]})
+
+
 def _spill_edges(block: int):
     width = block + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, r0, c0 = _grid(pdf, block)
-        draining = _outlets(z)
-        inner = np.zeros_like(z, bool)
-        inner[1:-1, 1:-1] = np.isfinite(z[1:-1, 1:-1])
-        rim = np.zeros_like(inner)
+        basin, n, passes = _basins(z)
+        rim = np.zeros_like(z, bool)
         rim[[1, -2], :], rim[:, [1, -2]] = True, True
-        rim &= inner
-        drain = np.zeros_like(inner)
-        drain[1:-1, 1:-1] = draining
-        heights, in_rim, drains = z.ravel().tolist(), rim.ravel().tolist(), (drain & inner).ravel().tolist()
-        ident = ((np.arange(width)[:, None] + r0) * 4294967296 + np.arange(width)[None, :] + c0).ravel().tolist()
-        moves = [dr * width + dc for dr, dc in AROUND]
-        parent = [-1] * (width * width)
-        rep: list[int | None] = [None] * (width * width)
+        rim &= basin >= 0
+        drain = np.zeros_like(rim)
+        drain[1:-1, 1:-1] = _outlets(z)
+        drain &= basin >= 0
+        ident = (np.arange(width)[:, None] + r0) * 4294967296 + np.arange(width)[None, :] + c0
+        # vertices: basins, then rim cells, then the outside; the latter two are what the edges are wanted between
+        n_rim = int(rim.sum())
+        graph = pd.concat([
+            passes,
+            pd.DataFrame({"u": basin[rim], "v": n + np.arange(n_rim), "w": z[rim]}),
+            pd.DataFrame({"u": basin[drain], "w": z[drain]}).groupby("u", as_index=False)["w"].min().assign(v=n + n_rim),
+        ]).sort_values("w", kind="stable")
+        rep: list[int | None] = [None] * n + ident[rim].tolist() + [OUTSIDE]
+        parent = list(range(len(rep)))
         edges: list[tuple[int, int, float]] = []
-        cells = np.flatnonzero(inner.ravel())
-        for i in cells[np.argsort(z.ravel()[cells], kind="stable")].tolist():
-            parent[i], level = i, heights[i]
-            if drains[i]:
-                rep[i] = OUTSIDE
-                if in_rim[i]:
-                    edges.append((OUTSIDE, ident[i], level))
-            elif in_rim[i]:
-                rep[i] = ident[i]
-            a = i
-            for m in moves:
-                j = i + m
-                if parent[j] < 0:
-                    continue
-                while parent[j] != j:
-                    parent[j] = parent[parent[j]]
-                    j = parent[j]
-                if j == a:
-                    continue
-                if rep[a] is not None and rep[j] is not None and rep[a] != rep[j]:
-                    edges.append((rep[a], rep[j], level))
-                parent[a] = j
-                rep[j] = rep[a] if rep[j] is None else rep[j]
-                a = j
+        for a, b, level in zip(graph["u"].tolist(), graph["v"].tolist(), graph["w"].tolist()):
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            while parent[b] != b:
+                parent[b] = parent[parent[b]]
+                b = parent[b]
+            if a != b:
+                if rep[a] is not None and rep[b] is not None:
+                    edges.append((rep[a], rep[b], level))
+                parent[b] = a
+                rep[a] = rep[b] if rep[a] is None else rep[a]
         for dr, dc in AROUND:  # contacts with neighbouring blocks, stated once by the lower cell
             rows, cols = np.nonzero(rim)
             nr, nc = rows + dr, cols + dc
@@ -98,28 +126,30 @@ def _spill_edges(block: int):
     return run
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lowest barrier to the outside for every vertex of a bounded graph."""
-    frames = list(batches)
-    if not frames:
-        return
-    for scope, edges in pd.concat(frames, ignore_index=True).groupby("scope"):
-        near: dict[int, list[tuple[float, int]]] = {}
-        for u, v, w in zip(edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist()):
-            near.setdefault(u, []).append((w, v))
-            near.setdefault(v, []).append((w, u))
-        done: dict[int, float] = {}
-        heap = [(float("-inf"), OUTSIDE)]
-        while heap:
-            level, node = heapq.heappop(heap)
-            if node in done:
-                continue
-            done[node] = level
-            for w, other in near.get(node, ()):
-                if other not in done:
-                    heapq.heappush(heap, (max(level, w), other))
-        done.pop(OUTSIDE, None)
-        yield pd.DataFrame({"scope": scope, "id": list(done), "level": list(done.values())})
+def _reach(edges: pd.DataFrame, heap: list[tuple[float, int]]) -> dict[int, float]:
+    """Lowest barrier from the starting (level, vertex) pairs to every vertex of a bounded graph."""
+    near: dict[int, list[tuple[float, int]]] = {}
+    for u, v, w in zip(edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist()):
+        near.setdefault(u, []).append((w, v))
+        near.setdefault(v, []).append((w, u))
+    done: dict[int, float] = {}
+    heapq.heapify(heap)
+    while heap:
+        level, node = heapq.heappop(heap)
+        if node in done:
+            continue
+        done[node] = level
+        for w, other in near.get(node, ()):
+            if other not in done:
+                heapq.heappush(heap, (max(level, w), other))
+    return done
+
+
+def _solve(edges: pd.DataFrame) -> pd.DataFrame:
+    """Lowest barrier to the outside for every vertex of one scope."""
+    done = _reach(edges, [(float("-inf"), OUTSIDE)])
+    done.pop(OUTSIDE, None)
+    return pd.DataFrame({"scope": edges["scope"].iloc[0], "id": list(done), "level": list(done.values())})
 
 
 def spill_levels(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
@@ -127,7 +157,7 @@ def spill_levels(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFram
 
     Each round, every vertex that drew tails and whose cheapest edge leads to a vertex that drew heads (or outside) is
     merged into it. A merged vertex's level is the larger of that edge and its new home's level, so unwinding the
-    rounds backwards gives exact levels.
+    rounds backwards gives exact levels. Rounds end when no scope holds more than ``finish_edges`` edges.
     """
     scope_type = edges.schema["scope"].dataType.simpleString()
 
@@ -136,7 +166,7 @@ def spill_levels(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFram
         return cut_lineage(lean.groupBy("scope", "u", "v").agg(F.min("w").alias("w")))
 
     current, rounds = tidy(edges), []
-    while current.count() > finish_edges:
+    while not current.groupBy("scope").count().where(F.col("count") > finish_edges).isEmpty():
         both = current.union(current.select("scope", F.col("v").alias("u"), F.col("u").alias("v"), "w")).where(F.col("u") != OUTSIDE)
         order = F.struct("w", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), F.col("v").alias("to"))
         pick = both.groupBy("scope", F.col("u").alias("id")).agg(F.min(order).alias("m"))
@@ -148,7 +178,7 @@ def spill_levels(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFram
         hv = hooks.select("scope", F.col("id").alias("v"), F.col("to").alias("tv"))
         moved = current.join(hu, ["scope", "u"], "left").join(hv, ["scope", "v"], "left")
         current = tidy(moved.select("scope", F.coalesce("tu", "u").alias("u"), F.coalesce("tv", "v").alias("v"), "w"))
-    levels = current.coalesce(1).mapInPandas(_solve, f"scope {scope_type}, id bigint, level double")
+    levels = current.groupBy("scope").applyInPandas(_solve, f"scope {scope_type}, id bigint, level double")
     for hooks in reversed(rounds):
         home = levels.select("scope", F.col("id").alias("to"), "level")
         merged = hooks.join(home, ["scope", "to"], "left").select("scope", "id", F.greatest("w", F.coalesce("level", "w")).alias("level"))
@@ -164,28 +194,17 @@ def _flood(block: int, keep: list[str]):
         own = pdf[pdf["_own"].to_numpy()]
         base = own[["survey_id", "row", "col", "z", *keep]].reset_index(drop=True)
         at = (own["row"].to_numpy() - r0) * width + own["col"].to_numpy() - c0
-        heights = z.ravel().tolist()
-        level: list[float | None] = [None] * (width * width)
-        open_cell = np.zeros(width * width, bool)
-        open_cell[at] = True
-        waiting = open_cell.tolist()
-        seeds = np.zeros_like(z, bool)
-        seeds[1:-1, 1:-1] = _outlets(z)
-        heap = [(heights[i], i) for i in at[seeds.ravel()[at]].tolist()]
-        known = own["level"].notna().to_numpy()
-        heap += list(zip(own["level"].to_numpy(float)[known].tolist(), at[known].tolist()))
-        heapq.heapify(heap)
-        moves = [dr * width + dc for dr, dc in AROUND]
-        while heap:
-            here, i = heapq.heappop(heap)
-            if not waiting[i]:
-                continue
-            waiting[i], level[i] = False, here
-            for m in moves:
-                j = i + m
-                if waiting[j]:
-                    heapq.heappush(heap, (here if here > heights[j] else heights[j], j))
-        return base.assign(filled=[level[i] for i in at.tolist()])
+        basin, n, passes = _basins(z)
+        drain = np.zeros_like(z, bool)
+        drain[1:-1, 1:-1] = _outlets(z)
+        drain &= basin >= 0
+        known = own["level"].notna().to_numpy() & (basin.ravel()[at] >= 0)
+        starts = np.concatenate([z[drain], own["level"].to_numpy(float)[known]]), np.concatenate([basin[drain], basin.ravel()[at[known]]])
+        lowest = pd.Series(starts[0]).groupby(starts[1]).min()
+        done = _reach(passes, list(zip(lowest.tolist(), lowest.index.tolist())))
+        levels = np.full(n + 1, np.nan)  # the last one for absent cells
+        levels[list(done)] = list(done.values())
+        return base.assign(filled=np.maximum(z.ravel()[at], levels[basin.ravel()[at]]))
 
     return run
 

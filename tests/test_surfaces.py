@@ -1,4 +1,5 @@
 import math
+from functools import reduce
 
 import numpy as np
 from helpers import filled, flood_labels, grid, surface
@@ -58,6 +59,18 @@ def test_fill_matches_priority_flood(spark):
     assert (grid(fill.fill_depressions(s, 6, finish_edges=5), "filled", z.shape) == filled(z)).all()
 
 
+def test_fill_of_surveys_side_by_side(spark):
+    """A flat survey, a bowl and a winding channel; only the larger ones' rim graphs are contracted."""
+    r, c = np.mgrid[0:21, 0:21]
+    channel = np.where((r % 4 == 1) | ((r % 4 != 1) & (c == np.where(r // 4 % 2, 1, 19))), 3.0 + (r * 21 + c) % 5, 50.0)
+    scenes = {1: np.full((4, 5), 7.0), 2: np.hypot(r - 10, c - 10).round(), 3: channel}
+    s = reduce(lambda x, y: x.unionByName(y), [surface(spark, z).withColumn("survey_id", F.lit(k).cast("string")) for k, z in scenes.items()])
+    for block, finish in ((5, 30), (16, 1_000_000)):
+        out = fill.fill_depressions(s, block, finish_edges=finish).persist()
+        for k, z in scenes.items():
+            assert (grid(out.where(F.col("survey_id") == str(k)), "filled", z.shape) == filled(z)).all()
+
+
 def test_labels_match_flood_fill_whatever_the_block(spark):
     for seed, share in ((1, 0.5), (2, 0.62), (3, 0.35)):
         mask = np.random.default_rng(seed).random((25, 29)) < share
