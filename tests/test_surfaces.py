@@ -5,7 +5,7 @@ import numpy as np
 from helpers import filled, flood_labels, grid, surface
 from pyspark.sql import functions as F
 
-from fellscan.operators import fill, focal, horizon, regions, warp
+from fellscan.operators import fill, focal, horizon, joins, regions, warp
 from fellscan.operators.components import connected_components, eps_clusters, label
 from fellscan.operators.quantiles import exact_quantile
 
@@ -176,3 +176,26 @@ def test_mercator_plane_is_a_plane(spark):
     r = out.select(F.max(F.abs(F.col("value") - want)), F.count("*")).first()
     assert r[1] > 500 and r[0] < 1e-6
     assert out.count() == out.select("x", "y", "px", "py").distinct().count()
+
+
+def test_sampling_meets_only_sources_that_reach_a_point(spark, capsys):
+    """Sources of very different sizes and spacings, overlapping; the finest that holds a cell there wins."""
+    rng = np.random.default_rng(5)
+    grids = [(f"s{k}", 26910 + k % 2, float(rng.integers(-300, 300)), float(rng.integers(-300, 300)), d, d, d, f"p{k}") for k, d in enumerate([1.0, 1.0, 4.0, 0.5, 32.0, 2.0])]
+    survey = spark.createDataFrame(grids, "source_id string, epsg int, x0 double, y0 double, dx double, dy double, resolution_m double, path string")
+    cells = {(g[0], r, c): float(rng.integers(0, 99)) for g in grids for r in range(12) for c in range(9) if rng.random() > 0.1}
+    surface_ = spark.createDataFrame([(*k, z) for k, z in cells.items()] + [("s0", 0, 99, None)], "source_id string, row long, col long, z double")
+    spots = [(i, float(g[2] + rng.random() * 12 * g[4]), float(g[3] - rng.random() * 13 * g[5]), g[1]) for i, g in enumerate(grids * 40)] + [(900, None, 0.0, 26910), (901, 1e9, 1e9, 26911)]
+    out = joins.sample_nearest(spark.createDataFrame(spots, "id int, x double, y double, epsg int"), surface_, survey, "id")
+    for row in out.collect():
+        want = None
+        for s, epsg, x0, y0, dx, dy, res, path in sorted(grids, key=lambda g: (g[6], g[7])):
+            if want is None and row.x is not None and epsg == row.epsg:
+                want = (z, s) if (z := cells.get((s, math.floor((y0 - row.y) / dy), math.floor((row.x - x0) / dx)))) is not None else None
+        assert (row.elevation_m, row.source) == (want or (None, None))
+    assert out.count() == len(spots)
+    assert joins.sample_nearest(spark.createDataFrame(spots, "id int, x double, y double, epsg int"), surface_.limit(0), survey, "id").where("elevation_m IS NOT NULL").count() == 0
+    capsys.readouterr()
+    out.explain()
+    keyed = [line for line in capsys.readouterr().out.splitlines() if "Join" in line and "epsg" in line]
+    assert keyed and all("_gx" in line and "_level" in line for line in keyed)
