@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fellscan.operators.blocks import BLOCK, BLOCK_KEYS, KEYS, tiled
-from fellscan.operators.components import join_parts, label_grid
+from fellscan.operators.blocks import BLOCK, BLOCK_KEYS, KEYS, pack, tiled
+from fellscan.operators.components import FINISH_EDGES, connected_components, join_parts, label_grid
 from fellscan.operators.focal import with_neighbour_flags
 from fellscan.session import cut_lineage
 
@@ -227,27 +227,42 @@ def shape_metrics(labelled: DataFrame, dx: float = 1.0, dy: float = 1.0, block:
     )
 
 
-def interiors(labelled: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
-    """Cells enclosed by each region: not members, and cut off from outside under 8-connection.
+def interior_runs(labelled: DataFrame, width: int = 64, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    """(survey_id, region_id, row, c0, c1): the runs of cells enclosed by each region, cut off from outside under 8-connection.
 
-    Callers pass area-bounded regions (detectors do); one above ``max_cells`` stops the job instead of filling a task.
+    An enclosed cell lies between two members of its row, so only the gaps of rows count, not the cells of a bounding box.
+    A gap is open where the row above or below has none of the region's members as far out as the gap reaches (one cell
+    beyond its ends, as corners connect). Gaps of neighbouring rows meet in strips of ``width`` columns, which bounds the
+    pairs of a strip; the components of gaps without an open one are the interiors. Regions may share gaps: each has its
+    own copy. Nothing of a region is held in memory, so none is too large.
     """
-    sizes = labelled.groupBy(*REGION).agg(F.count("*").alias("_n"))
-    fits = F.when(F.col("_n") > max_cells, F.raise_error("region too large for interiors").cast("boolean")).otherwise(True)
-    labelled = labelled.join(sizes.where(fits).select(*REGION), REGION, "left_semi")
-
-    def enclosed(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0 = r.min() - 1, c.min() - 1
-        free = np.ones((r.max() - r0 + 2, c.max() - c0 + 2), bool)
-        free[r - r0, c - c0] = False
-        labels = label_grid(free, eight=True)
-        rows, cols = np.nonzero(free & (labels != labels[0, 0]))
-        return pd.DataFrame({"survey_id": pdf["survey_id"].iloc[0], "region_id": pdf["region_id"].iloc[0], "row": rows + r0, "col": cols + c0})
-
-    types = {f.name: f.dataType.simpleString() for f in labelled.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in (*REGION, "row", "col"))
-    return per_region(labelled.select(*REGION, "row", "col"), [], enclosed, schema)
+    line = [*REGION, "row"]
+    cells = labelled.select(*line, "col")
+    before = F.lag("col").over(Window.partitionBy(*line).orderBy("col"))
+    gaps = cells.withColumn("_p", before).where(F.col("col") - F.col("_p") > 1)
+    gaps = cut_lineage(gaps.select(*line, (F.col("_p") + 1).alias("c0"), (F.col("col") - 1).alias("c1")))
+    ends = cells.groupBy(*line).agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    # only rows beside a gap are looked up; a row without members is outside from end to end
+    beside = gaps.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("_at", F.col("row") + F.col("_d"))
+    ends = ends.withColumnRenamed("row", "_at")
+    reaches = F.coalesce((F.col("c0") - 1 < F.col("lo")) | (F.col("c1") + 1 > F.col("hi")), F.lit(True))
+    gap_id = pack("row", "c0")
+    facts = beside.join(ends, [*REGION, "_at"], "left").groupBy(*line, "c0", "c1").agg(F.max(reaches).alias("open"))
+    scope = F.concat_ws(":", "region_id", "survey_id")
+    facts = cut_lineage(facts.select(*line, "c0", "c1", "open", scope.alias("scope"), gap_id.alias("id")))
+    strips = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    upper = facts.select("scope", (F.col("row") + 1).alias("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("id").alias("u")).withColumn("_s", strips(F.col("a0") - 1, F.col("a1") + 1))
+    lower = facts.select("scope", "row", "c0", "c1", F.col("id").alias("v")).withColumn("_s", strips(F.col("c0"), F.col("c1")))
+    edges = upper.join(lower, ["scope", "row", "_s"]).where("a0 - 1 <= c1 AND c0 <= a1 + 1").select("scope", "u", "v")
+    roots = connected_components(edges, finish_edges)
+    parts = facts.join(roots, ["scope", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    shut = parts.groupBy("scope", "root").agg(F.max("open").alias("open")).where("NOT open").select("scope", "root")
+    return parts.join(shut, ["scope", "root"], "left_semi").select(*line, "c0", "c1")
+
+
+def interiors(labelled: DataFrame, width: int = 64, finish_edges: int = FINISH_EDGES) -> DataFrame:
+    """Cells enclosed by each region: not members, and cut off from outside under 8-connection."""
+    return interior_runs(labelled, width, finish_edges).withColumn("col", F.explode(F.sequence("c0", "c1"))).select(*REGION, "row", "col")
 
 
 def representative_cell(labelled: DataFrame) -> DataFrame:

@@ -552,15 +552,15 @@ def holes_sql(lab: str, tag: str) -> str:
     return f"""bb_{tag} AS (SELECT survey_id, region_id, min("row") - 1 AS r0, max("row") + 1 AS r1, min(col) - 1 AS c0, max(col) + 1 AS c1 FROM {lab} GROUP BY 1, 2),
     fr_{tag} AS MATERIALIZED (SELECT b.survey_id, b.region_id, r, c FROM bb_{tag} b, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS r), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS c)
       WHERE NOT EXISTS (SELECT 1 FROM {lab} l WHERE l.survey_id = b.survey_id AND l.region_id = b.region_id AND l."row" = r AND l.col = c)),
-    rc_{tag}(survey_id, region_id, r, c) AS (SELECT survey_id, region_id, r0, c0 FROM bb_{tag} UNION SELECT f.survey_id, f.region_id, f.r, f.c FROM rc_{tag} p JOIN fr_{tag} f ON f.survey_id = p.survey_id
-      AND f.region_id = p.region_id AND f.r BETWEEN p.r - 1 AND p.r + 1 AND f.c BETWEEN p.c - 1 AND p.c + 1),
+    rc_{tag}(survey_id, region_id, r, c) AS (SELECT survey_id, region_id, r0, c0 FROM bb_{tag} UNION SELECT f.survey_id, f.region_id, f.r, f.c
+      FROM rc_{tag} p, (SELECT unnest([-1, 0, 1]) AS i) o, (SELECT unnest([-1, 0, 1]) AS j) q JOIN fr_{tag} f ON f.survey_id = p.survey_id AND f.region_id = p.region_id AND f.r = p.r + o.i AND f.c = p.c + q.j),
     ho_{tag} AS MATERIALIZED (SELECT f.* FROM fr_{tag} f WHERE NOT EXISTS (SELECT 1 FROM rc_{tag} p WHERE p.survey_id = f.survey_id AND p.region_id = f.region_id AND p.r = f.r AND p.c = f.c))"""
 
 
-@register("c7_interiors", f"""{LAB.replace('z > 600', 'z > 200')}, sz AS (SELECT survey_id, region_id FROM lab GROUP BY 1, 2 HAVING count(*) BETWEEN 8 AND 3000),
+@register("c7_interiors", f"""{LAB.replace('z > 600', 'z > 200')}, sz AS (SELECT survey_id, region_id FROM lab GROUP BY 1, 2 HAVING count(*) >= 8),
     la AS MATERIALIZED (SELECT lab.* FROM lab JOIN sz USING (survey_id, region_id)), {holes_sql('la', 'h')} SELECT survey_id, region_id, count(*) AS hole_cells FROM ho_h GROUP BY 1, 2""")
 def _c7(spark, sf):
-    lab = comp.drop_small(comp.label(smooth(spark, sf).where("z > 200").select("survey_id", "row", "col"), BLOCK), 8).where("cells <= 3000")
+    lab = comp.drop_small(comp.label(smooth(spark, sf).where("z > 200").select("survey_id", "row", "col"), BLOCK), 8)
     return regions.interiors(lab).groupBy("survey_id", "region_id").agg(F.count("*").alias("hole_cells"))
 
 

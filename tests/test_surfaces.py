@@ -2,6 +2,8 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pytest
 from helpers import filled, flood_labels, grid, surface
 from pyspark.sql import functions as F
 
@@ -148,6 +150,54 @@ def test_rotated_square_and_holes(spark):
     assert regions.interiors(lab).count() == int((diamond & ~ring).sum())
 
 
+def enclosed_by_flood(mask: np.ndarray) -> set:
+    """Cells of a mask's complement that eight-way moves from outside its grown box do not reach."""
+    free = np.pad(~mask, 1, constant_values=True)
+    seen, todo = {(0, 0)}, [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        for a in (i - 1, i, i + 1):
+            for b in (j - 1, j, j + 1):
+                if 0 <= a < free.shape[0] and 0 <= b < free.shape[1] and free[a, b] and (a, b) not in seen:
+                    seen.add((a, b))
+                    todo.append((a, b))
+    return {(int(i) - 1, int(j) - 1) for i, j in zip(*np.nonzero(free)) if (i, j) not in seen}
+
+
+@pytest.mark.parametrize("width,finish", [(64, 1_000_000), (2, 1_000_000), (3, 4)])
+def test_interiors_match_a_flood_fill(spark, width, finish):
+    masks = [np.random.default_rng(k).random((23, 19)) < p for k, p in enumerate((0.55, 0.7, 0.85))]
+    rings = np.zeros((23, 19), bool)  # a ring in a ring, a cut ring, and one that is shut at corners only
+    rings[0:11, 0:11] = True
+    rings[1:10, 1:10] = False
+    rings[3:8, 3:8] = True
+    rings[4:7, 4:7] = False
+    rings[12:18, 0:6] = True
+    rings[13:17, 1:5] = False
+    rings[17, 3] = False
+    for i, j in ((14, 12), (13, 13), (14, 14), (15, 13)):
+        rings[i, j] = True
+    masks.append(rings)
+    pdf = pd.concat([pd.DataFrame({"survey_id": f"a:{k % 2}", "region_id": k, "row": r - 5, "col": c - 7}) for k, m in enumerate(masks) for r, c in [np.nonzero(m)]])
+    got = regions.interiors(spark.createDataFrame(pdf), width, finish).toPandas()
+    assert not got.duplicated().any()
+    for k, m in enumerate(masks):
+        mine = got[got["region_id"] == k]
+        assert set(zip(mine["row"] + 5, mine["col"] + 7)) == enclosed_by_flood(m)
+        assert (mine["survey_id"] == f"a:{k % 2}").all()
+    assert regions.interiors(spark.createDataFrame(pdf).where("row > 1000")).count() == 0
+
+
+def test_interior_of_a_long_diagonal_ring(spark):
+    """A band of 20 000 cells whose bounding box would hold 50 million: only its gaps are built."""
+    n = 5_000
+    i = np.arange(n)
+    band = np.concatenate([np.stack([i, i + d], axis=1) for d in (0, 1, 3, 4)] + [np.array([[0, 2], [n - 1, n + 1], [0, 0]])])
+    pdf = pd.DataFrame(np.unique(band, axis=0), columns=["row", "col"]).assign(survey_id="s", region_id=1)
+    lab = spark.createDataFrame(pdf)
+    assert regions.interiors(lab).count() == n - 2
+
+
 def test_gap_fill_takes_the_nearest_value(spark):
     z = RNG.integers(0, 1000, (14, 15)).astype(float)
     hole = np.zeros(z.shape, bool)
