@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fellscan.operators.components import connected_components
@@ -215,6 +215,37 @@ def region_conflicts(regions: DataFrame, buffer_m: float) -> DataFrame:
     return pairs.withColumn("conflict", kind).where("conflict IS NOT NULL").select("region_id", F.col("o_region_id").alias("other_id"), "conflict", "distance_m").distinct()
 
 
+def uncovered_regions(regions: DataFrame, prints: DataFrame) -> DataFrame:
+    """region_id of the rectangles that the union of their footprints ``prints`` (region_id, west .. north) does not cover.
+
+    Exact: the footprints' sides cut each region into slabs between neighbouring x; in a slab, the footprints that span it
+    cover it when, from south to north, each begins no farther than the ones before it reach. Sides are closed, so only a
+    gap with an area counts; a region without width or height is covered as a line or a point. Footprints meet their slabs
+    by number, so the rows are the spans themselves, never all pairs of a region's footprints and slabs. Regions with a
+    null bound count as uncovered, footprints with one cover nothing.
+    """
+    box = ["region_id", "r_w", "r_s", "r_e", "r_n"]
+    r = regions.select("region_id", *[F.col(c).alias("r_" + c[0]) for c in ("west", "south", "east", "north")]).distinct()
+    near = r.join(prints.select("region_id", "west", "south", "east", "north").distinct(), "region_id").where("west <= r_e AND east >= r_w AND south <= r_n AND north >= r_s")
+    clip = near.select(*box, F.greatest("west", "r_w").alias("x0"), F.least("east", "r_e").alias("x1"), F.greatest("south", "r_s").alias("y0"), F.least("north", "r_n").alias("y1"))
+    clip = cut_lineage(clip.distinct())
+    sides = r.select(*box, F.explode(F.array("r_w", "r_e")).alias("x")).unionByName(clip.select(*box, F.explode(F.array("x0", "x1")).alias("x"))).distinct()
+    by_x = Window.partitionBy(*box).orderBy("x")
+    cuts = cut_lineage(sides.select(*box, "x", F.row_number().over(by_x).alias("k"), F.lead("x").over(by_x).alias("_next")))
+    # the last side starts no slab, unless it is the only one: a region without width
+    slabs = cuts.where("_next IS NOT NULL OR k = 1").select(*box, "k")
+    first = clip.join(cuts.select(*box, F.col("x").alias("x0"), F.col("k").alias("k0")), [*box, "x0"])
+    spans = first.join(cuts.select(*box, F.col("x").alias("x1"), F.col("k").alias("k1")), [*box, "x1"])
+    last = F.when(F.col("r_w") == F.col("r_e"), F.col("k1")).otherwise(F.col("k1") - 1)
+    spans = spans.withColumn("_l", last).where("k0 <= _l").select(*box, F.explode(F.sequence("k0", "_l")).alias("k"), "y0", "y1")
+    upward = Window.partitionBy(*box, "k").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("y0") > F.coalesce(F.max("y1").over(upward), F.col("r_s"))
+    whole = spans.withColumn("_g", gap).groupBy(*box, "k").agg(F.max("_g").alias("gap"), F.max("y1").alias("top")).where("NOT gap AND top >= r_n").select(*box, "k")
+    bare = slabs.join(whole, [*box, "k"], "left_anti")
+    unknown = r.where("r_w IS NULL OR r_s IS NULL OR r_e IS NULL OR r_n IS NULL")
+    return bare.select("region_id").unionByName(unknown.select("region_id")).distinct()
+
+
 def _break(df: DataFrame, rule: str, key: Column | str) -> DataFrame:
     k = F.col(key) if isinstance(key, str) else key
     return df.select(F.lit(rule).alias("rule"), k.cast("string").alias("key"))
@@ -230,12 +261,8 @@ def manifest_violations(t: dict[str, DataFrame], buffer_m: float, tol: float) ->
     split_groups = regions.groupBy("independence_group").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
     rules.append(_break(split_groups, "group_spans_splits", "independence_group"))
     rules.append(_break(t["region_surveys"].join(t["surveys"], "survey_id", "left_anti"), "unknown_survey", "region_id"))
-    # cover by the union of footprints, tested on an 11 x 11 lattice of each region including its edges
-    grid = regions.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(10))))
-    spots = grid.select("region_id", "i", "j", (F.col("west") + (F.col("east") - F.col("west")) * F.col("i") / 10).alias("x"), (F.col("south") + (F.col("north") - F.col("south")) * F.col("j") / 10).alias("y"))
     prints = t["region_surveys"].join(t["surveys"], "survey_id")
-    seen = spots.join(prints, "region_id").where("x >= west AND x <= east AND y >= south AND y <= north").select("region_id", "i", "j").distinct()
-    rules.append(_break(spots.join(seen, ["region_id", "i", "j"], "left_anti").select("region_id").distinct(), "region_exceeds_surveys", "region_id"))
+    rules.append(_break(uncovered_regions(regions, prints), "region_exceeds_surveys", "region_id"))
     conflicts = region_conflicts(regions, buffer_m)
     rules.append(_break(conflicts, "region_conflict", F.concat_ws("|", "region_id", "other_id")))
     rules.append(_break(labels.join(regions, "region_id", "left_anti"), "unknown_region", "label_id"))

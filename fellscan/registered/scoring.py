@@ -164,6 +164,22 @@ def _e1(spark, sf):
     return evaluate.manifest_violations(manifest(spark, sf), 500.0, 40.0)
 
 
+# Regions of whole units from parts and footprints from lineitem; the SQL asks for every unit square.
+COVER = """rc AS (SELECT p_partkey AS region_id, 0.0 AS west, 0.0 AS south, 60.0 + 15 * (p_size % 3) AS east, 45.0 + 15 * (p_size % 4) AS north FROM part),
+    fp AS (SELECT DISTINCT l_partkey AS region_id, CAST(l_orderkey % 5 * 15 - 5 AS DOUBLE) AS west, CAST(l_suppkey % 4 * 15 - 10 AS DOUBLE) AS south,
+      CAST(l_orderkey % 5 * 15 - 5 + 30 + l_linenumber * 5 AS DOUBLE) AS east, CAST(l_suppkey % 4 * 15 - 10 + 40 + CAST(l_quantity AS INT) AS DOUBLE) AS north FROM lineitem)"""
+
+
+@register("e1_uncovered_regions", f"""WITH {COVER}, sq AS (SELECT region_id, i.x, j.y FROM rc, LATERAL (SELECT unnest(range(0, CAST(east AS BIGINT), 1)) + 0.5 AS x) i, LATERAL (SELECT unnest(range(0, CAST(north AS BIGINT), 1)) + 0.5 AS y) j)
+    SELECT DISTINCT region_id FROM sq WHERE NOT EXISTS (SELECT 1 FROM fp WHERE fp.region_id = sq.region_id AND sq.x > fp.west AND sq.x < fp.east AND sq.y > fp.south AND sq.y < fp.north)""")
+def _e1c(spark, sf):
+    p, i = load(spark, sf, "part"), load(spark, sf, "lineitem")
+    regions = p.select(F.col("p_partkey").alias("region_id"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), (F.lit(60.0) + 15 * (F.col("p_size") % 3)).alias("east"), (F.lit(45.0) + 15 * (F.col("p_size") % 4)).alias("north"))
+    w, s = F.col("l_orderkey") % 5 * 15 - 5, F.col("l_suppkey") % 4 * 15 - 10
+    sides = {"west": w, "south": s, "east": w + 30 + F.col("l_linenumber") * 5, "north": s + 40 + F.col("l_quantity").cast("int")}
+    return evaluate.uncovered_regions(regions, i.select(F.col("l_partkey").alias("region_id"), *[v.cast("double").alias(k) for k, v in sides.items()]))
+
+
 @register("e4_contract_violations", """SELECT 'dataset_version' AS rule, '2' AS key UNION ALL SELECT 'manifest_digest', 'stale' UNION ALL SELECT 'undeclared_family', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 3 = 2""")
 def _e4(spark, sf):
     header = load(spark, sf, "nation").where("n_nationkey = 0").select(F.lit("synthetic").alias("dataset_id"), F.lit("2").alias("dataset_version"), F.lit("stale").alias("manifest_digest"))

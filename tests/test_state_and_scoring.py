@@ -53,6 +53,31 @@ def test_scoring_counts_hits_duplicates_misses_and_exclusions(spark):
     assert [x.label_id for x in out["excluded_labels"].collect()] == [4]
 
 
+def test_cover_by_footprints_is_exact(spark):
+    rng = np.random.default_rng(11)
+    regions, prints, want = [], [], set()
+    for k in range(120):
+        w, s, e, n = 2, 3, 2 + int(rng.integers(1, 12)), 3 + int(rng.integers(1, 12))
+        regions.append((k, float(w), float(s), float(e), float(n)))
+        seen = np.zeros((40, 40), bool)
+        for _ in range(int(rng.integers(0, 14))):
+            a, b = (int(v) for v in rng.integers(0, 10, 2))
+            c, d = a + int(rng.integers(0, 10)), b + int(rng.integers(0, 10))
+            prints.append((k, float(a), float(b), float(c), float(d)))
+            seen[a:c, b:d] = True
+        if not seen[w:e, s:n].all():
+            want.add(k)
+    regions += [(200, 0.0, 0.0, 10.0, 10.0), (201, 0.0, 0.0, 10.0, 10.0), (202, 5.0, 0.0, 5.0, 10.0), (203, 5.0, 0.0, 5.0, 10.0), (204, None, 0.0, 5.0, 10.0), (205, 0.0, 0.0, 1.0, 1.0)]
+    # a slit of a thousandth, which no lattice of points meets; the same without the slit; lines; unknown bounds
+    prints += [(200, 0.0, 0.0, 4.3331, 10.0), (200, 4.3341, 0.0, 10.0, 10.0), (201, 0.0, 0.0, 4.333, 10.0), (201, 4.333, 0.0, 10.0, 10.0), (202, 0.0, 0.0, 5.0, 10.0),
+               (203, 0.0, 0.0, 5.0, 4.0), (203, 5.0, 5.0, 7.0, 10.0), (204, 0.0, 0.0, 9.0, 99.0), (205, None, 0.0, 1.0, 1.0)]
+    want |= {200, 203, 204, 205}
+    cols = "region_id bigint, west double, south double, east double, north double"
+    got = [r.region_id for r in evaluate.uncovered_regions(spark.createDataFrame(regions, cols), spark.createDataFrame(prints + prints[:5], cols)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 5 < len(want) < 120
+    assert evaluate.uncovered_regions(spark.createDataFrame([], cols), spark.createDataFrame(prints, cols)).count() == 0
+
+
 def test_jobs_end_once_and_progress_never_falls(spark):
     rows = [("a", 1, "2024-01-01 00:00:01", "running", 10, "s1"), ("a", 2, "2024-01-01 00:00:02", "running", 60, "s2"), ("a", 3, "2024-01-01 00:00:03", "running", 40, None),
             ("a", 4, "2024-01-01 00:00:04", "cancelled", 50, None), ("a", 5, "2024-01-01 00:00:05", "completed", 100, "late"), ("b", 1, "2024-01-01 00:00:01", "running", 250, "s1")]
