@@ -392,7 +392,18 @@ FOLD = """en AS (SELECT job_id, min(CASE WHEN status IN ('completed', 'failed',
 
 @register("i1_fold_jobs", f"WITH {JOBS}, {FOLD} SELECT * FROM fj")
 def _i1(spark, sf):
-    return folds.fold_jobs(fixture(spark, sf, "job_events"))
+    return folds.fold_jobs(fixture(spark, sf, "job_events")).drop("result_summary", "error_message")
+
+
+@register("i1_job_summaries", f"""WITH {JOBS}, {FOLD}, ev AS (SELECT *, CASE WHEN seq % 13 = 0 THEN seq % 100 END AS found FROM lv),
+    s AS (SELECT job_id, arg_max(found, seq) FILTER (found IS NOT NULL) AS found, max(seq) FILTER (found IS NOT NULL) AS g, arg_max(stage, seq) FILTER (found IS NULL AND stage <> '') AS stage,
+      max(seq) FILTER (found IS NULL AND stage <> '') AS a, arg_max(concat('stopped at ', CAST(seq AS VARCHAR)), seq) FILTER (status = 'failed') AS error_message FROM ev GROUP BY 1)
+    SELECT job_id, CAST(found AS VARCHAR) AS found, CASE WHEN g IS NULL OR a > g THEN stage END AS stage, error_message FROM s""")
+def _i1s(spark, sf):
+    seq = F.col("seq")
+    found = F.when(seq % 13 == 0, F.create_map(F.lit("found"), (seq % 100).cast("string")))
+    jobs = folds.fold_jobs(fixture(spark, sf, "job_events").withColumns({"summary": found, "message": F.concat(F.lit("stopped at "), seq.cast("string"))}))
+    return jobs.select("job_id", F.col("result_summary")["found"].alias("found"), F.col("result_summary")["stage"].alias("stage"), "error_message")
 
 
 @register("i2_live_feed", f"""WITH {JOBS}, {FOLD} SELECT job_id, status FROM fj WHERE status IN ('pending', 'running') OR completed_at >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAYS

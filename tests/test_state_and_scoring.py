@@ -102,6 +102,33 @@ def test_stream_of_jobs_equals_the_batch(spark, tmp_path):
     assert got == {r.job_id: (r.status, r.progress, r.stage) for r in folds.fold_jobs(ev).collect()}
 
 
+def test_timed_stream_of_jobs_equals_the_batch_and_forgets_ended_ones(spark, tmp_path):
+    cols = "job_id string, seq bigint, ts string, status string, progress int, stage string, summary map<string,string>, message string"
+    at = lambda i: f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00"
+    rows = [("a", 1, at(1), "running", 5, "load", None, None), ("a", 2, at(2), "running", None, "", {"n": "1", "stage": "own"}, None), ("a", 3, at(3), "running", 300, "fuse", None, None),
+            ("a", 4, at(9), "failed", 20, None, None, "no space"), ("b", 1, at(1), "pending", 0, None, None, None), ("b", 2, at(10), "completed", 100, "ignored", {"n": "7"}, "fine"),
+            ("c", 1, at(2), "running", 1, None, None, None), ("d", 1, at(3), "failed", None, None, None, None),
+            ("a", 5, at(15), "running", 99, "late", {"n": "9"}, "late"), ("c", 2, at(16), "running", 2, "load", None, None), ("c", 3, at(300), "running", 3, None, {"m": None}, None), ("c", 4, at(301), "running", 3, None, None, None)]
+    ev = spark.createDataFrame(rows, cols).withColumn("ts", F.to_timestamp("ts"))
+    for k, part in enumerate((rows[:8], rows[8:10], rows[10:11], rows[11:])):
+        spark.createDataFrame(part, cols).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = folds.fold_jobs_stream(spark.readStream.schema(ev.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "1 hour")
+    got = {}
+
+    def keep(batch, _):
+        got.update({r.job_id: r for r in batch.collect()})
+
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = {r.job_id: r for r in folds.fold_jobs(ev).select(*stream.columns).collect()}
+    assert got == want
+    assert want["a"].result_summary == {"n": "1", "stage": "fuse"} and want["a"].error_message == "no space" and want["a"].progress == 100
+    assert want["b"].result_summary == {"n": "7"} and want["b"].error_message is None and want["d"].error_message == "" and want["d"].progress is None
+    assert want["c"].result_summary == {"m": None}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) == 4 and held[-1] == 1  # only the running job is still known
+
+
 def test_retention_evicts_by_age_then_only_as_far_as_the_cap_needs(spark):
     rng = np.random.default_rng(2)
     rows = [(i, f"/p/{i}", int(rng.integers(1, 50)), int(rng.integers(0, 12))) for i in range(300)]
