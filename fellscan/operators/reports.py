@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fellscan.operators.quantiles import exact_quantile
 
-# Storage categories by path, first match wins.
-CATEGORIES = [("raw", "/raw/"), ("dem", "/dem/"), ("derivatives", "/derivatives/"), ("cache", "/cache/"), ("models", "/models/")]
+# Storage categories by path below the data folder, first match wins; what matches none is "other".
+CATEGORIES = [("raw", r"^raw/"), ("dem", r"(_|/)dem\.tif$"), ("hillshade", "hillshade"), ("derivatives", "derivatives")]
 
 
 def stage_profile(timings: DataFrame, seconds: str = "elapsed_s") -> DataFrame:
@@ -31,13 +31,24 @@ def same_identity(runs: DataFrame, key: list[str], digest: str = "digest") -> Da
     return runs.groupBy(*key).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select(*key)
 
 
-def storage_breakdown(files: DataFrame, cap_bytes: float, categories: list[tuple[str, str]] = CATEGORIES) -> DataFrame:
-    """Bytes and files per category and their share of the cap."""
-    kind = None
-    for name, part in categories:
-        kind = F.when(F.col("path").contains(part), name) if kind is None else kind.when(F.col("path").contains(part), name)
-    return files.groupBy(kind.otherwise("other").alias("category")).agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("files")).withColumn(
-        "pct_of_cap", 100 * F.col("bytes") / cap_bytes)
+def storage_breakdown(files: DataFrame, cap_bytes: float, root: str = "", categories: list[tuple[str, str]] = CATEGORIES) -> DataFrame:
+    """Bytes and files per category (a pattern of the path below ``root``) and their share of the cap; empty ones included.
+
+    One global aggregate of conditional sums. A null path is "other", a null size counts no bytes.
+    """
+    path = F.coalesce("path", F.lit(""))
+    if root:
+        base = root.rstrip("/") + "/"
+        path = F.when(path.startswith(base), F.substring(path, len(base) + 1, 1_000_000)).otherwise(path)
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(categories):
+        kind = F.when(F.col("_p").rlike(pattern), name).otherwise(kind)
+    named = files.select("size_bytes", path.alias("_p")).select("size_bytes", F.coalesce(kind, F.lit("other")).alias("category"))
+    names = [name for name, _ in categories] + ["other"]
+    is_ = [F.col("category") == name for name in names]
+    aggs = [F.coalesce(F.sum(F.when(c, F.col("size_bytes"))), F.lit(0)).alias(f"b{i}") for i, c in enumerate(is_)] + [F.count_if(c).alias(f"n{i}") for i, c in enumerate(is_)]
+    rows = [F.struct(F.lit(name).alias("category"), F.col(f"b{i}").alias("bytes"), F.col(f"n{i}").alias("files")) for i, name in enumerate(names)]
+    return named.agg(*aggs).select(F.inline(F.array(*rows))).withColumn("pct_of_cap", 100 * F.col("bytes") / cap_bytes)
 
 
 def job_outcome(results: DataFrame) -> DataFrame:
@@ -67,32 +78,30 @@ def heat_grid(det: DataFrame, cell_deg: float = 0.01) -> DataFrame:
     return det.groupBy(at("lon").alias("gx"), at("lat").alias("gy")).agg(F.sum("confidence").alias("weight"), F.count("*").alias("n"))
 
 
-def retention_plan(files: DataFrame, max_age_days: int = 30, max_bytes: float = 700e9, buckets: int = 4096) -> DataFrame:
+def retention_plan(files: DataFrame, max_age_days: float = 30, max_bytes: float = 700e9, buckets: int = 4096) -> DataFrame:
     """Files with ``evict``: ``age`` when older than the limit, ``cap`` for the oldest ones still needed to get under the cap, else null.
 
-    The running total in age order is a two-level sum: per age first (a few rows), then inside the one age the cap cuts.
+    Eviction goes by age, oldest first (``age_days`` may have fractions); files of one age go by a hash of their path. The
+    last file to go is found by narrowing: sums per day, per part of the day it falls in, per age in that part, per hash
+    bucket of that age, per path in that bucket. Each round keeps a running sum over its few groups and hands on one of
+    them, so nothing is sorted as a whole; one comparison with that file then marks every row. A null age is the newest.
     """
-    flagged = files.withColumn("_old", F.col("age_days") > max_age_days)
-    left = flagged.where(~F.col("_old"))
-    total = left.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("_total"))
-    per_age = left.groupBy("age_days").agg(F.sum("size_bytes").alias("_bytes"))
-    oldest = Window.orderBy(F.desc("age_days"))  # one row per distinct age in days
-    cut = per_age.withColumn("_before", F.sum("_bytes").over(oldest) - F.col("_bytes")).crossJoin(F.broadcast(total))  # one row
-    cut = cut.select("age_days", "_before", "_total", "_bytes")
-    marked = flagged.join(cut, "age_days", "left")
-    over = F.col("_total") - F.col("_before")  # bytes still held when this age is reached
-    whole = over - F.col("_bytes") >= max_bytes  # even evicting the whole age leaves the total at or over the cap
-    none = over <= max_bytes
-    edge = marked.where(~F.col("_old") & ~whole & ~none)
-    # inside the cutting age: hash buckets of (size, path) keep the running sum split, then rows of one bucket are ordered
-    edge = edge.withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(buckets)))
-    per_bucket = edge.groupBy("_b").agg(F.sum("size_bytes").alias("_s"))
-    per_bucket = per_bucket.withColumn("_skip", F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).select("_b", "_skip")
-    inside = Window.partitionBy("_b").orderBy("path")
-    edge = edge.join(per_bucket, "_b").withColumn("_ran", F.col("_skip") + F.sum("size_bytes").over(inside) - F.col("size_bytes"))
-    edge = edge.withColumn("evict", F.when(F.col("_total") - F.col("_before") - F.col("_ran") > max_bytes, "cap"))
-    rest = marked.where(F.col("_old") | whole | none).withColumn("evict", F.when(F.col("_old"), "age").when(whole, "cap"))
-    return edge.select(*files.columns, "evict").unionByName(rest.select(*files.columns, "evict"))
+    age = F.coalesce(F.col("age_days").cast("double"), F.lit(0.0))
+    old, path = F.coalesce(F.col("age_days") > max_age_days, F.lit(False)), F.coalesce("path", F.lit(""))
+    part = -F.floor((age - F.floor(age)) * buckets)
+    keys = {"_day": -F.floor(age), "_part": part, "_age": F.lit(0.0) - age, "_hash": F.pmod(F.xxhash64(path), F.lit(buckets)).cast("long"), "_path": path}
+    left = files.where(~old).select(F.coalesce("size_bytes", F.lit(0)).alias("_size"), *[c.alias(k) for k, c in keys.items()])
+    over = (left.agg(F.sum("_size")).first()[0] or 0) - max_bytes
+    last = {}
+    for k in keys if over > 0 else []:
+        sums = left.groupBy(k).agg(F.sum("_size").alias("_bytes"))
+        sums = sums.withColumn("_before", F.sum("_bytes").over(Window.orderBy(k)) - F.col("_bytes"))
+        last[k], before = sums.where((F.col("_before") < over) & (F.col("_before") + F.col("_bytes") >= over)).orderBy(k).select(k, "_before").first()
+        over, left = over - before, left.where(F.col(k) == last[k])
+    order = ["_age", "_hash", "_path"]
+    types = {f.name: f.dataType for f in left.schema}
+    gone = F.struct(*[keys[k].alias(k) for k in order]) <= F.struct(*[F.lit(last[k]).cast(types[k]).alias(k) for k in order]) if last else F.lit(False)
+    return files.withColumn("evict", F.when(old, "age").when(gone, "cap"))
 
 
 def retention_summary(plan: DataFrame) -> DataFrame:

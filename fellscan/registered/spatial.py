@@ -314,10 +314,17 @@ def _g11(spark, sf):
     return out.select("stage", "n", "max_ms", rnd("p50").alias("p50"), rnd("p95").alias("p95"))
 
 
-@register("g12_storage_breakdown", f"""WITH {FILES} SELECT CASE WHEN contains(path, '/src0/') THEN 'raw' WHEN contains(path, '/src1/') THEN 'dem' WHEN contains(path, '/src2/') THEN 'cache' ELSE 'other' END AS category,
-    CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) AS files, {rd('100.0 * sum(size_bytes) / 1e9')} AS pct_of_cap FROM files GROUP BY 1""")
+# Where a data folder keeps its files; the category follows from the place alone.
+PLACES = ["raw/{k}.laz", "processed/t{k}/t{k}_dem.tif", "processed/t{k}/dem.tif", "processed/t{k}/hillshade.tif", "processed/t{k}/derivatives/svf.tif", "exports/raw/{k}.tif"]
+
+
+@register("g12_storage_breakdown", f"""WITH {FILES}, k AS (SELECT size_bytes, file_id % 6 AS p FROM files),
+    n AS (SELECT unnest(['raw', 'dem', 'hillshade', 'derivatives', 'other']) AS category), c AS (SELECT size_bytes, CASE p WHEN 0 THEN 'raw' WHEN 1 THEN 'dem' WHEN 2 THEN 'dem' WHEN 3 THEN 'hillshade' WHEN 4 THEN 'derivatives' ELSE 'other' END AS category FROM k)
+    SELECT n.category, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, count(c.category) AS files, {rd('100.0 * coalesce(sum(size_bytes), 0) / 1e9')} AS pct_of_cap FROM n LEFT JOIN c USING (category) GROUP BY 1""")
 def _g12(spark, sf):
-    out = reports.storage_breakdown(fixture(spark, sf, "files"), 1e9, [("raw", "/src0/"), ("dem", "/src1/"), ("cache", "/src2/")])
+    k = F.col("file_id")
+    path = F.element_at(F.array(*[F.concat(F.lit("/data/"), F.replace(F.lit(p), F.lit("{k}"), k.cast("string"))) for p in PLACES]), (k % 6).cast("int") + 1)
+    out = reports.storage_breakdown(fixture(spark, sf, "files").withColumn("path", path), 1e9, "/data")
     return out.withColumn("pct_of_cap", rnd("pct_of_cap"))
 
 
@@ -381,6 +388,14 @@ def _t7s(spark, sf):
     return reports.retention_summary(reports.retention_plan(fixture(spark, sf, "files"), 20, 1e15))
 
 
+@register("t7_retention_order", f"""WITH {FILES}, fa AS (SELECT file_id, size_bytes, age_days + file_id / 1e7 AS age FROM files), lv AS (SELECT * FROM fa WHERE age <= 20),
+    b AS (SELECT file_id, sum(size_bytes) OVER (ORDER BY age DESC ROWS UNBOUNDED PRECEDING) - size_bytes AS before FROM lv), t AS (SELECT sum(size_bytes) AS t FROM lv)
+    SELECT file_id, CASE WHEN fa.age > 20 THEN 'age' WHEN b.before < t.t - 1e8 THEN 'cap' END AS evict FROM fa LEFT JOIN b USING (file_id) CROSS JOIN t""")
+def _t7o(spark, sf):
+    files = fixture(spark, sf, "files").withColumn("age_days", F.col("age_days") + F.col("file_id") / F.lit(1e7))
+    return reports.retention_plan(files, 20, 1e8).select("file_id", "evict")
+
+
 # ---- job and review state ------------------------------------------------------------------------------------------
 
 JOBS = ctes("job_events")

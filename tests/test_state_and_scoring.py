@@ -142,6 +142,33 @@ def test_retention_evicts_by_age_then_only_as_far_as_the_cap_needs(spark):
     assert min(r.age_days for r in cap) >= max(r.age_days for r in out if r.evict is None)
 
 
+def test_retention_by_cap_matches_a_walk_over_sorted_files(spark):
+    rng = np.random.default_rng(5)
+    ages = rng.choice([0.0, 1.25, 1.2500001, 3.5, 3.75, 9.5], 400)
+    rows = [(i, f"/p/{i}", int(rng.integers(0, 50)), None if i % 50 == 0 else float(a)) for i, a in enumerate(ages)]
+    files = spark.createDataFrame(rows, "file_id bigint, path string, size_bytes bigint, age_days double")
+    size = {r[0]: r[2] for r in rows}
+    age = {r[0]: r[3] or 0.0 for r in rows}
+    for cap in (0, 1, 500, 3000, sum(s for i, s in size.items() if age[i] <= 9), 10**9):
+        got = {r.file_id: r.evict for r in reports.retention_plan(files, 9, cap, buckets=16).collect()}
+        assert {i for i, e in got.items() if e == "age"} == {i for i in age if age[i] > 9}
+        stay, gone = [i for i in got if got[i] is None], [i for i in got if got[i] == "cap"]
+        assert sum(size[i] for i in stay) <= cap
+        if gone:  # the last one to go was still needed, and nothing older stays
+            youngest = min(age[i] for i in gone)
+            assert youngest >= max((age[i] for i in stay), default=0.0)
+            assert any(sum(size[j] for j in stay) + size[i] > cap for i in gone if age[i] == youngest)
+    assert reports.retention_plan(files.where("file_id < 0"), 9, 100).count() == 0
+
+
+def test_storage_categories(spark):
+    paths = ["/d/raw/a.laz", "/d/x/raw/b.laz", "/d/processed/t_dem.tif", "/d/processed/t/dem.tif", "/d/raw/hillshade.tif", "/d/p/hillshade.png", "/d/p/derivatives/dem.tif", "/d/p/derivatives/svf.tif", "/d/mydem.tif", None]
+    out = reports.storage_breakdown(spark.createDataFrame([(p, 1) for p in paths], "path string, size_bytes bigint"), 10, "/d/")
+    assert {r.category: r.files for r in out.collect()} == {"raw": 2, "dem": 3, "hillshade": 1, "derivatives": 1, "other": 3}
+    none = reports.storage_breakdown(spark.createDataFrame([], "path string, size_bytes bigint"), 10).collect()
+    assert len(none) == 5 and all((r.bytes, r.files, r.pct_of_cap) == (0, 0, 0.0) for r in none)
+
+
 def test_geodesic_round_trip_and_known_values(spark):
     d, az = geodesy.inverse_arrays([0.0, -80.0], [0.0, 40.0], [1.0, -79.0], [0.0, 41.0])
     assert abs(d[0] - 111319.4908) < 1e-3 and abs(az[0] - 90) < 1e-9
