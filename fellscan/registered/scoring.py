@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from fellscan.operators import evaluate, fill, focal, horizon, learn, pointgrid
@@ -12,7 +10,7 @@ from fellscan.plans.registry import get_pass
 from fellscan.registered.base import rd, register, rnd
 from fellscan.registered.fixtures import ctes, fixture, load
 from fellscan.registered.terrain import BLOCK
-from fellscan.session import hold
+from fellscan.session import hold, shared_folder
 from fellscan.sources.cells import point_cloud
 from fellscan.streaming import folds
 
@@ -197,7 +195,7 @@ def _e3(spark, sf):
 
 def _drain(stream, out_schema, mode):
     """Run a stream over the files present to its end and return what it wrote."""
-    folder = tempfile.mkdtemp(prefix="fellscan-stream-")
+    folder = shared_folder(stream.sparkSession, "stream")
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
